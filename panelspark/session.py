@@ -58,3 +58,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_folder(spark).rstrip('/')}/panelspark/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows over all cores where the input comes in fewer pieces than that.
+
+    A table of many files is left alone: its scan is already parallel.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
