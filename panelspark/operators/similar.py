@@ -251,3 +251,11 @@ def knn_numeric(train: DataFrame, test: DataFrame, features: Sequence[str], k: i
                  dense_top_k(k), MATCH)
     near = top_within(found, ["query_id"], [F.col("score"), F.col("rep_id")], k)
     return vote(near.join(points.select("rep_id", "label"), "rep_id"))
+
+
+def vote_shares(neighbours: DataFrame) -> DataFrame:
+    """``(query_id, label, share)`` of every label among the neighbours."""
+    votes = neighbours.groupBy("query_id", "label").agg(F.count("*").alias("votes"))
+    sizes = votes.groupBy("query_id").agg(F.sum("votes").alias("n"))
+    return votes.join(sizes, "query_id").select(
+        "query_id", "label", (F.col("votes") / F.col("n")).alias("share"))
