@@ -164,10 +164,10 @@ def label_vectors(index: TextIndex) -> DataFrame:
     return index.docs.select("rep_id", "label").distinct().join(index.vectors, "rep_id")
 
 
-def _best_score(queries: DataFrame, docs: DataFrame, score: str, factor: float = 1.0) -> DataFrame:
+def _best_score(queries: DataFrame, docs: DataFrame, score: str) -> DataFrame:
     best = best_matches(queries, docs, 1, score, match=True)
     return queries.select("query_id").join(best, "query_id", "left").select(
-        "query_id", (F.coalesce("score", F.lit(0.0)) * factor).alias("score"))
+        "query_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def best_cosine(queries: DataFrame, index: TextIndex) -> DataFrame:
@@ -188,30 +188,38 @@ def best_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Largest share, in percent, of a document's words that the query holds.
 
     Over the documents of the query's label: ``queries(query_id, label, text)``,
-    ``docs(doc_id, label, text)``.  With weight 1 on the query side and one over
+    ``docs(doc_id, label, text)``.  With weight 1 on the query side and 100 over
     the document's word count on the other, the share is a dot product.
     """
     q = _as_sets(queries, "query_id", _word_set("text"), F.lit(1.0))
     d = _as_sets(docs.select(F.col("doc_id").alias("rep_id"), "label", "text"), "rep_id",
-                 _word_set("text"), F.lit(1.0) / F.size("terms"))
-    return _best_score(q, d, "dot", 100.0)
+                 _word_set("text"), F.lit(100.0) / F.size("terms"))
+    return _best_score(q, d, "dot")
 
 
-def phonetic_bag(tokens: Column) -> Column:
-    """Soundex codes of a text as a set: the second ``B600`` becomes ``B600 2``."""
-    codes = F.array_sort(soundex_codes(tokens))
-    # the codes are sorted, so a code's number follows from its first place
-    return F.transform(codes, lambda c, i: F.concat_ws(
-        " ", c, (i - F.array_position(codes, c) + 2).cast("string")))
+def _phonetic_sets(df: DataFrame, key: str) -> DataFrame:
+    """Soundex codes of a text as a set: the second ``B600`` becomes ``B600 2``.
+
+    On such sets the plain Jaccard similarity is the multiset one.
+    """
+    words = F.filter(F.split(F.lower(as_column("text")), r"\s+"), lambda t: t.rlike(r"^\p{L}+$"))
+    counts = (df.select(F.col(key), "label", F.explode(soundex_codes(words)).alias("code"))
+              .groupBy(key, "label", "code").agg(F.count("*").alias("n")))
+    numbered = counts.select(key, "label", F.explode(F.transform(
+        F.sequence(F.lit(1).cast("bigint"), "n"),
+        lambda i: F.concat_ws(" ", "code", i.cast("string")))).alias("term"))
+    # a group is the words of one text
+    return numbered.groupBy(key, "label").agg(
+        F.collect_list("term").alias("terms"), F.collect_list(F.lit(1.0)).alias("weights"))
 
 
 def best_phonetic(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Largest multiset Jaccard similarity of Soundex codes within the query's label."""
-    words = F.filter(F.split(F.lower(as_column("text")), r"\s+"), lambda t: t.rlike(r"^\p{L}+$"))
-    q = _as_sets(queries, "query_id", phonetic_bag(words), F.lit(1.0))
-    d = _as_sets(docs.select(F.col("doc_id").alias("rep_id"), "label", "text"), "rep_id",
-                 phonetic_bag(words), F.lit(1.0))
-    return _best_score(q, d, "jaccard")
+    q = _phonetic_sets(queries, "query_id")
+    d = _phonetic_sets(docs.withColumnRenamed("doc_id", "rep_id"), "rep_id")
+    best = best_matches(q, d, 1, "jaccard", match=True)
+    return queries.select("query_id").join(best, "query_id", "left").select(
+        "query_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def first_row_per_key(df: DataFrame, key: str, order: str = "doc_id") -> DataFrame:

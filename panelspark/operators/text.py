@@ -112,7 +112,6 @@ def fit_tfidf(docs: DataFrame, stop_words: Sequence[str] = (), mode: str = "word
     # counted map-side first, so a bag shared by many documents is one row per task
     bags = tokenised.groupBy("bag").agg(F.min("doc_id").alias("rep_id"),
                                         F.count("*").alias("copies"))
-    bags = materialise(bags, "bags")
     doc_map = lookup(tokenised.select("doc_id", "label", "bag"), bags, "bag", "doc_id",
                      "copies").select("doc_id", "label", "rep_id")
     doc_map = materialise(doc_map, "docs")
@@ -122,8 +121,7 @@ def fit_tfidf(docs: DataFrame, stop_words: Sequence[str] = (), mode: str = "word
         distinct.select("rep_id", "copies", F.explode("tokens").alias("term"))
         .groupBy("rep_id", "copies", "term").agg(F.count("*").alias("tf")), "counts")
     size = tokenised.agg(F.count("*").alias("n_docs"))
-    size = materialise(size, "size")
-    n_docs = size.select("n_docs").scalar()
+    n_docs = size.scalar()
     vocab = counts.groupBy("term").agg(F.sum("copies").alias("df"),
                                        F.count("*").alias("rows"))
     vocab = materialise(vocab.withColumn(

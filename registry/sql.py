@@ -18,8 +18,8 @@ ALPHA = (r"list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z\
 
 def soundex(w: str) -> str:
     """American Soundex of a word expression; a word that starts with no letter is left alone."""
-    digits = (f"regexp_replace(translate(w2, 'abcdefghijklmnopqrstuvwxyz', "
-              f"'01230120022455012623010202'), '[^0-6]', '0', 'g')")
+    digits = ("translate(regexp_replace(w2, '[^a-z]', 'a', 'g'), "
+              "'abcdefghijklmnopqrstuvwxyz', '01230120022455012623010202')")
     for n in "123456":
         digits = f"regexp_replace({digits}, '{n}+', '{n}', 'g')"
     rest = f"replace(substr({digits}, 2), '0', '')"

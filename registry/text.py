@@ -24,8 +24,15 @@ def benchmark(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_FITTED: dict[tuple[str, str], text.TextIndex] = {}
+
+
 def index(spark, d):
-    return text.fit_tfidf(documents(spark, d), STOP_WORDS)
+    """The index of all documents; its tables are written once per application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        _FITTED[key] = text.fit_tfidf(documents(spark, d), STOP_WORDS)
+    return _FITTED[key]
 
 
 def indexed(spark, d):
@@ -136,7 +143,7 @@ def label_terms(spark, d):
 
 @query("WITH" + INDEX + "SELECT doc_id, term, round(weight, 6) AS weight FROM post")
 def fit_tfidf(spark, d):
-    ix = index(spark, d)
+    ix = text.fit_tfidf(documents(spark, d), STOP_WORDS)
     entries = text.postings(ix.docs.join(ix.vectors, "rep_id"), "doc_id")
     return entries.withColumn("weight", six("weight"))
 
@@ -210,13 +217,23 @@ def correct_vocab(spark, d):
         turns, "key", "tokens", spelling_vocabulary(spark, d)))
 
 
-@query(_corrected_sql(f"""WITH {VOCABULARY},
-   near AS (SELECT word, min((levenshtein(word, term), term)) AS b FROM words, vocab GROUP BY word),
-   fixes AS (SELECT word, b[2] AS new FROM near WHERE {soundex('word')} = {soundex('b[2]')})"""))
+PHRASES = f"""t AS (SELECT item_id AS key, {ALPHA} AS toks FROM benchmark),
+  e AS (SELECT key, unnest(toks) AS word, generate_subscripts(toks, 1) AS pos FROM t)"""
+
+
+@query(f"""WITH {VOCABULARY}, {PHRASES},
+   near AS (SELECT word, min((levenshtein(word, term), term)) AS b
+     FROM (SELECT DISTINCT word FROM e), vocab GROUP BY word),
+   fixes AS (SELECT word, b[2] AS new FROM near WHERE {soundex('word')} = {soundex('b[2]')}),
+   c AS (SELECT key, string_agg(coalesce(new, word), ' ' ORDER BY pos) AS corrected
+     FROM e LEFT JOIN fixes USING (word) GROUP BY key)
+   SELECT key, corrected, CASE WHEN corrected <> array_to_string(toks, ' ') THEN corrected END AS suggestion
+   FROM t JOIN c USING (key)""")
 def correct_phonetic(spark, d):
-    turns = spoken(spark, d)
-    return _with_suggestion(turns, spell.correct_phonetic(
-        turns, "key", "tokens", spelling_vocabulary(spark, d)))
+    phrases = table(spark, d, "benchmark").select(
+        F.col("item_id").alias("key"), C.tokens("text", "alpha").alias("tokens"))
+    return _with_suggestion(phrases, spell.correct_phonetic(
+        phrases, "key", "tokens", spelling_vocabulary(spark, d)))
 
 
 # ------------------------------------------------------------- neighbours
@@ -323,7 +340,8 @@ BLANK_SET = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'
 
 @query(f"""WITH {TURNS},
    qw AS (SELECT query_id, label, unnest({BLANK_SET}) AS w FROM t),
-   dw AS (SELECT doc_id, lang AS label, unnest({BLANK_SET}) AS w, len({BLANK_SET}) AS n FROM documents),
+   ds AS MATERIALIZED (SELECT doc_id, lang AS label, {BLANK_SET} AS s FROM documents),
+   dw AS (SELECT doc_id, label, unnest(s) AS w, len(s) AS n FROM ds),
    hits AS (SELECT query_id, doc_id, 100.0 * count(*) / any_value(n) AS p
      FROM qw JOIN dw USING (label, w) GROUP BY ALL)
    SELECT query_id, round(coalesce(max(p), 0), 6) AS score FROM t LEFT JOIN hits USING (query_id)
