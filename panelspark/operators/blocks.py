@@ -38,6 +38,8 @@ def meet(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str,
         return (df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))))
 
+    # the two sides may be one table: give the right one its own columns
+    queries = queries.select([F.col(c).alias(c) for c in queries.columns])
     left = dealt(docs, doc_key, "_d", doc_blocks, "_q", query_blocks)
     right = dealt(queries, query_key, "_q", query_blocks, "_d", doc_blocks)
     return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(kernel, schema)
