@@ -133,11 +133,13 @@ def sweep_k(df: DataFrame, key: str, cols: Sequence[str], ks: Sequence[int] = ra
     rows = points.count()
     curve = []
     for k in (k for k in ks if k < rows):
+        if k == 1:
+            around_mean = sum((F.var_pop(as_column(c)) for c in cols), F.lit(0.0)) * rows
+            curve.append((1, float(points.agg(around_mean).first()[0]), 0.0))
+            continue
         model = KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed).fit(points)
         labelled = model.transform(points)
-        if k == 1:
-            score = 0.0
-        elif exact:
+        if exact:
             score = silhouette(labelled, key, cols).first()[0]
         else:
             score = ClusteringEvaluator(featuresCol="_x", predictionCol="cluster").evaluate(labelled)
