@@ -50,15 +50,14 @@ def position(df: DataFrame, order: Sequence[Column], name: str = "position",
     return placed.drop("_part", "_row", "_before")
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probabilities: Sequence[float],
-                    fan: int = 32) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: Sequence[str],
+                    probabilities: Sequence[float]) -> DataFrame:
     """Exact linear-interpolation quantiles of many columns, one row per column.
 
     Returns ``(measure, q0, q1, ...)``.  Values are first counted (so repeats
-    cost nothing), then cut into value ranges by a bounded sketch; the ranks
-    needed are found from range totals and a running count inside each range.
-    There are ``fan`` x ``fan`` ranges, found in two steps of ``fan``
-    comparisons, so a range holds about a thousandth of the distinct values.
+    cost nothing) and then range-partitioned, which balances the distinct
+    values.  The rank of a value is a running count inside its partition plus
+    the rows of the partitions before it.
     """
     values = (
         df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
@@ -66,31 +65,19 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probabilities: Sequence[
         .where(F.col("value").isNotNull())
         .groupBy("measure", "value").agg(F.count("*").alias("n"))
     )
-    cuts = F.expr("array(" + ", ".join(
-        f"{i / (fan * fan)}d" for i in range(1, fan * fan)) + ")")
-    # one row per column of the input, so bounded by its schema
-    bounds = values.groupBy("measure").agg(
-        F.percentile_approx("value", cuts, 10_000).alias("cuts"),
-        F.sum("n").alias("rows")).withColumn("coarse", F.transform(
-            F.sequence(F.lit(fan), F.lit(fan * (fan - 1)), F.lit(fan)),
-            lambda i: F.element_at("cuts", i)))
-
-    def below(part: Column) -> Column:
-        return F.size(F.filter(part, lambda b: b < F.col("value")))
-
-    ranged = (values.join(F.broadcast(bounds), "measure")
-              .withColumn("outer", below(F.col("coarse")))
-              .withColumn("bucket", F.col("outer") * fan + below(
-                  F.slice("cuts", F.col("outer") * fan + 1, F.lit(fan - 1))))
-              .drop("cuts", "coarse", "outer"))
-    earlier = Window.partitionBy("measure").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    # at most columns x ranges rows
-    totals = ranged.groupBy("measure", "bucket").agg(F.sum("n").alias("total")).select(
-        "measure", "bucket", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
-    running = Window.partitionBy("measure", "bucket").orderBy("value").rowsBetween(
+    placed = materialise(values.repartitionByRange("measure", "value")
+                         .withColumn("part", F.spark_partition_id()), "values")
+    every = Window.partitionBy("measure").orderBy("part")
+    # at most columns x partitions rows
+    totals = placed.groupBy("measure", "part").agg(F.sum("n").alias("total")).select(
+        "measure", "part",
+        F.coalesce(F.sum("total").over(every.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("before"),
+        F.sum("total").over(every.rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing)).alias("rows"))
+    running = Window.partitionBy("measure", "part").orderBy("value").rowsBetween(
         Window.unboundedPreceding, 0)
-    ranked = ranged.join(F.broadcast(totals), ["measure", "bucket"]).withColumn(
+    ranked = placed.join(F.broadcast(totals), ["measure", "part"]).withColumn(
         "upto", F.col("before") + F.sum("n").over(running))
 
     def at_rank(rank: Column) -> Column:

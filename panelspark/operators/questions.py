@@ -12,6 +12,7 @@ from panelspark.functions.fixed_values import (COMPARISON_WORDS, HIGHEST_WORDS,
                                                LOWEST_WORDS, NO_ANSWER, TREND_WORDS)
 from panelspark.operators.ordering import position
 from panelspark.operators.panel import top_within, trend
+from panelspark.session import materialise
 
 
 def _any_of(words: Column, wanted: Sequence[str]) -> Column:
@@ -54,10 +55,14 @@ def answer_questions(params: DataFrame, panel: DataFrame, entity: str, period: s
     its questions.  Columns: ``question_id, route, measure, period, place,
     entity, value, answer``.
     """
+    named = materialise(panel.select(
+        as_column(entity).alias("entity"), as_column(period).cast("int").alias("period"),
+        *[as_column(m).cast("bigint").alias(m) for m in measures],
+        row_total(measures).alias(total)), "panel")
+    latest = named.agg(F.max("period")).scalar()
     known = F.create_map(*[F.lit(x) for pair in topics.items() for x in pair])
     route = (F.when(F.col("measure").isNull(), "none").when(F.col("trend"), "trend")
              .when(F.col("comparison"), "comparison").otherwise("statistics"))
-    latest = panel.agg(F.max(as_column(period))).scalar()
     asked = (params.withColumn("measure", F.try_element_at(known, F.col("topic")))
              .withColumn("route", route)
              .withColumn("lowest", (F.col("route") == "statistics")
@@ -65,12 +70,10 @@ def answer_questions(params: DataFrame, panel: DataFrame, entity: str, period: s
              .withColumn("period", F.when(F.col("route").isin("comparison", "statistics"),
                                           F.coalesce("year", latest)))
              .select("question_id", "route", "measure", "period", "lowest"))
+    asked = materialise(asked, "requests")
     request = ["route", "measure", "period", "lowest"]
     requests = asked.where(F.col("route") != "none").select(*request).distinct()
 
-    named = panel.select(as_column(entity).alias("entity"), as_column(period).cast("int").alias("period"),
-                         *[as_column(m).cast("bigint").alias(m) for m in measures],
-                         row_total(measures).alias(total))
     names = [*measures, total]
     long = named.unpivot(["entity", "period"], names, "measure", "value")
 

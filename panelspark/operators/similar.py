@@ -13,7 +13,7 @@ from panelspark.operators.joins import salted_join
 from panelspark.operators.kernels import dense_top_k, sparse_top_k
 from panelspark.operators.panel import top_within
 from panelspark.operators.text import TextIndex, postings
-from panelspark.session import materialise
+from panelspark.session import materialise, spread
 
 MATCH = "query_id bigint, rep_id bigint, score double"
 
@@ -144,7 +144,8 @@ def centroids(index: TextIndex) -> DataFrame:
     sizes = index.docs.groupBy("label").agg(F.count("*").alias("size"))
     entries = postings(owners.join(index.vectors, "rep_id"), "label", ["n"])
     sums = entries.groupBy("label", "term").agg(F.sum(F.col("n") * F.col("weight")).alias("s"))
-    return sums.join(sizes, "label").select("label", "term", (F.col("s") / F.col("size")).alias("weight"))
+    return materialise(sums.join(sizes, "label").select(
+        "label", "term", (F.col("s") / F.col("size")).alias("weight")), "centroids")
 
 
 def centroid_cosine(queries: DataFrame, means: DataFrame) -> DataFrame:
@@ -172,7 +173,7 @@ def _best_score(queries: DataFrame, docs: DataFrame, score: str) -> DataFrame:
 
 def best_cosine(queries: DataFrame, index: TextIndex) -> DataFrame:
     """Largest cosine of a query vector and a document of the query's label."""
-    return _best_score(queries, label_vectors(index), "dot")
+    return _best_score(queries, materialise(label_vectors(index), "label_vectors"), "dot")
 
 
 def _as_sets(df: DataFrame, key: str, words: Column, per_word: Column) -> DataFrame:
@@ -191,10 +192,10 @@ def best_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     ``docs(doc_id, label, text)``.  With weight 1 on the query side and 100 over
     the document's word count on the other, the share is a dot product.
     """
-    q = _as_sets(queries, "query_id", _word_set("text"), F.lit(1.0))
-    d = _as_sets(docs.select(F.col("doc_id").alias("rep_id"), "label", "text"), "rep_id",
+    q = _as_sets(spread(queries), "query_id", _word_set("text"), F.lit(1.0))
+    d = _as_sets(spread(docs).select(F.col("doc_id").alias("rep_id"), "label", "text"), "rep_id",
                  _word_set("text"), F.lit(100.0) / F.size("terms"))
-    return _best_score(q, d, "dot")
+    return _best_score(materialise(q, "query_words"), materialise(d, "doc_words"), "dot")
 
 
 def _phonetic_sets(df: DataFrame, key: str) -> DataFrame:
@@ -215,8 +216,9 @@ def _phonetic_sets(df: DataFrame, key: str) -> DataFrame:
 
 def best_phonetic(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Largest multiset Jaccard similarity of Soundex codes within the query's label."""
-    q = _phonetic_sets(queries, "query_id")
-    d = _phonetic_sets(docs.withColumnRenamed("doc_id", "rep_id"), "rep_id")
+    q = materialise(_phonetic_sets(spread(queries), "query_id"), "query_codes")
+    d = materialise(_phonetic_sets(spread(docs).withColumnRenamed("doc_id", "rep_id"), "rep_id"),
+                    "doc_codes")
     best = best_matches(q, d, 1, "jaccard", match=True)
     return queries.select("query_id").join(best, "query_id", "left").select(
         "query_id", F.coalesce("score", F.lit(0.0)).alias("score"))

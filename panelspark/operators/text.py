@@ -140,13 +140,14 @@ def transform_tfidf(queries: DataFrame, index: TextIndex, stop_words: Sequence[s
     Unknown terms are dropped; a query without a known term has no vector.
     """
     terms = term_array if term_array is not None else index_terms(tokens("text", mode, stop_words))
-    counts = (queries.select("query_id", *extra, F.explode(terms).alias("term"))
-              .groupBy("query_id", *extra, "term").agg(F.count("*").alias("tf")))
+    counts = materialise(
+        spread(queries).select("query_id", *extra, F.explode(terms).alias("term"))
+        .groupBy("query_id", *extra, "term").agg(F.count("*").alias("tf")), "query_counts")
     used = counts.groupBy("term").agg(F.count("*").alias("rows"))
     known = used.join(index.vocab.select("term", "idf"), "term")
     weighted = lookup(counts, known, "term", "query_id", "rows").select(
         "query_id", *extra, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    return _unit_vectors(weighted, "query_id", extra)
+    return materialise(_unit_vectors(weighted, "query_id", extra), "query_vectors")
 
 
 def label_terms(docs: DataFrame, col: str = "text") -> DataFrame:

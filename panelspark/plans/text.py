@@ -25,8 +25,7 @@ def classify_texts(queries: DataFrame, docs: DataFrame, index: TextIndex, k: int
     prepared = queries.select("query_id", tokens("text", "words", stop_words).alias("tokens"))
     corrected = materialise(
         spell.correct_phonetic(prepared, "query_id", "tokens", index.vocab.select("term")), "corrected")
-    vectors = materialise(transform_tfidf(
-        corrected, index, term_array=index_terms(F.col("tokens"))), "query_vectors")
+    vectors = transform_tfidf(corrected, index, term_array=index_terms(F.col("tokens")))
     votes = materialise(similar.vote(similar.nearest_docs(vectors, index, k)), "votes")
     centre = similar.centroid_cosine(
         vectors.join(votes.select("query_id", "label"), "query_id"), similar.centroids(index))
@@ -54,7 +53,7 @@ def prepare_alpha(df: DataFrame, key: str, vocabulary: DataFrame, stop_words: Se
 
     Correction comes before the stop words go, as a stop word may be misspelt.
     """
-    raw = df.withColumn("tokens", tokens("text", "alpha"))
+    raw = df.withColumn("tokens", tokens("text", "alpha")).drop("text")
     fixed = spell.correct_vocab(raw, key, "tokens", vocabulary)
     if stop_words:
         words = list(stop_words)
@@ -71,12 +70,12 @@ def analyse_texts(queries: DataFrame, docs: DataFrame, catalogue: DataFrame, voc
     similarity, largest overlap in percent.  The catalogue gives the attributes;
     ``found`` tells whether it knows the label.
     """
+    vocabulary = materialise(vocabulary, "vocabulary")
     known = materialise(prepare_alpha(docs, "doc_id", vocabulary, stop_words, lexicon)
                         .select("doc_id", "label", "tokens"), "prepared")
     index = fit_tfidf(known, term_array=index_terms(F.col("tokens")))
     asked = prepare_alpha(queries, "query_id", vocabulary, stop_words, lexicon)
-    vectors = materialise(transform_tfidf(
-        asked, index, term_array=index_terms(F.col("tokens"))), "query_vectors")
+    vectors = transform_tfidf(asked, index, term_array=index_terms(F.col("tokens")))
     votes = materialise(similar.vote(similar.nearest_docs(vectors, index, k)), "votes")
     labelled = votes.select("query_id", "label")
     texts = queries.select("query_id", "text").join(labelled, "query_id")
