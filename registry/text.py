@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import columns as C
 from panelspark.operators import metrics, similar, spell, text
 from panelspark.operators.panel import top_within
-from panelspark.session import work_folder
+from panelspark.session import materialise, work_folder
 from registry.book import query
 from registry.sql import (ALPHA, INDEX, INDEXED, QUERY_VECTORS, STOP_WORDS, STOP, TERMS, WORDS, in_test,
                           soundex)
@@ -447,11 +448,18 @@ def decode_labels(spark, d):
     return metrics.decode_labels(coded, metrics.label_codes(docs, "lang")).select("doc_id", "lang")
 
 
+_HELD_OUT: dict[tuple[str, str], DataFrame] = {}
+
+
 def held_out_neighbours(spark, d):
+    """Truth of the held-out documents and their neighbours among the others."""
+    key = (spark.sparkContext.applicationId, d)
     train, test = metrics.split_train_test(documents(spark, d), "doc_id")
-    ix = text.fit_tfidf(train, STOP_WORDS)
-    vectors = text.transform_tfidf(test.select(F.col("doc_id").alias("query_id"), "text"), ix, STOP_WORDS)
-    return test.select(F.col("doc_id").alias("query_id"), "label"), similar.nearest_docs(vectors, ix, 5)
+    if key not in _HELD_OUT:
+        ix = text.fit_tfidf(train, STOP_WORDS)
+        vectors = text.transform_tfidf(test.select(F.col("doc_id").alias("query_id"), "text"), ix, STOP_WORDS)
+        _HELD_OUT[key] = materialise(similar.nearest_docs(vectors, ix, 5), "neighbours")
+    return test.select(F.col("doc_id").alias("query_id"), "label"), _HELD_OUT[key]
 
 
 def held_out_predictions(spark, d):
