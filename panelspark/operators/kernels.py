@@ -48,6 +48,46 @@ class _Best:
         return query[keep], doc[keep], score[keep]
 
 
+def _products(docs: pa.Table, queries: pa.Table):
+    """Dot products of the sparse rows of two blocks, a slice of documents at a time.
+
+    Yields ``(lo, hi, table)``: ``table[i, j]`` belongs to document ``lo + i``
+    and query ``j``.
+    """
+    q_terms, q_len = _flat(queries, "terms")
+    q_weight = np.asarray(_flat(queries, "weights")[0])
+    d_terms, d_len = _flat(docs, "terms")
+    d_weight = np.asarray(_flat(docs, "weights")[0])
+    n_docs, n_queries = docs.num_rows, queries.num_rows
+
+    known = pc.unique(q_terms)
+    q_term = _codes(q_terms, known)
+    by_term = np.argsort(q_term, kind="stable")
+    q_row = np.repeat(np.arange(n_queries), q_len)[by_term]
+    q_weight = q_weight[by_term]
+    start = np.searchsorted(q_term[by_term], np.arange(len(known) + 1))
+
+    d_term = _codes(d_terms, known)
+    hit = d_term >= 0
+    d_row = np.repeat(np.arange(n_docs), d_len)[hit]
+    d_term, d_weight = d_term[hit], d_weight[hit]
+    pairs = start[d_term + 1] - start[d_term]
+    # cut the documents so that a dense score table and its inputs stay small
+    per_doc = np.bincount(d_row, pairs, minlength=n_docs) + n_queries
+    slice_of = np.floor(np.cumsum(per_doc) / _CELLS).astype(np.int64)
+    for s in range(slice_of[-1] + 1):
+        lo, hi = np.searchsorted(slice_of, [s, s + 1])
+        if lo == hi:
+            continue
+        a, b = np.searchsorted(d_row, [lo, hi])
+        n, total = pairs[a:b], int(pairs[a:b].sum())
+        at = (np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+              + np.repeat(start[d_term[a:b]], n))
+        cell = np.repeat(d_row[a:b] - lo, n) * n_queries + q_row[at]
+        yield lo, hi, np.bincount(cell, np.repeat(d_weight[a:b], n) * q_weight[at],
+                                  minlength=(hi - lo) * n_queries).reshape(hi - lo, n_queries)
+
+
 def sparse_top_k(k: int, score: str = "dot", match: bool = False):
     """Kernel: the ``k`` documents most similar to each query of the block.
 
@@ -60,45 +100,14 @@ def sparse_top_k(k: int, score: str = "dot", match: bool = False):
     def kernel(docs: pa.Table, queries: pa.Table) -> pa.Table:
         if docs.num_rows == 0 or queries.num_rows == 0:
             return out.empty_table()
-        q_terms, q_len = _flat(queries, "terms")
-        q_weight = np.asarray(_flat(queries, "weights")[0])
-        d_terms, d_len = _flat(docs, "terms")
-        d_weight = np.asarray(_flat(docs, "weights")[0])
-        n_docs, n_queries = docs.num_rows, queries.num_rows
-        doc_ids = np.asarray(docs.column("rep_id"))
+        n_queries, doc_ids = queries.num_rows, np.asarray(docs.column("rep_id"))
+        q_len, d_len = _flat(queries, "terms")[1], _flat(docs, "terms")[1]
         if match:
             names = pc.unique(queries.column("label").combine_chunks())
             q_label = _codes(queries.column("label").combine_chunks(), names)
             d_label = _codes(docs.column("label").combine_chunks(), names)
-
-        known = pc.unique(q_terms)
-        q_term = _codes(q_terms, known)
-        by_term = np.argsort(q_term, kind="stable")
-        q_row = np.repeat(np.arange(n_queries), q_len)[by_term]
-        q_weight = q_weight[by_term]
-        start = np.searchsorted(q_term[by_term], np.arange(len(known) + 1))
-
-        d_term = _codes(d_terms, known)
-        hit = d_term >= 0
-        d_row = np.repeat(np.arange(n_docs), d_len)[hit]
-        d_term, d_weight = d_term[hit], d_weight[hit]
-        pairs = start[d_term + 1] - start[d_term]
-        # cut the documents so that a dense score table and its inputs stay small
-        per_doc = np.bincount(d_row, pairs, minlength=n_docs) + n_queries
-        slice_of = np.floor(np.cumsum(per_doc) / _CELLS).astype(np.int64)
-
         best = _Best(k, doc_ids, largest=True)
-        for s in range(slice_of[-1] + 1):
-            lo, hi = np.searchsorted(slice_of, [s, s + 1])
-            if lo == hi:
-                continue
-            a, b = np.searchsorted(d_row, [lo, hi])
-            n, total = pairs[a:b], int(pairs[a:b].sum())
-            at = (np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-                  + np.repeat(start[d_term[a:b]], n))
-            cell = np.repeat(d_row[a:b] - lo, n) * n_queries + q_row[at]
-            table = np.bincount(cell, np.repeat(d_weight[a:b], n) * q_weight[at],
-                                minlength=(hi - lo) * n_queries).reshape(hi - lo, n_queries)
+        for lo, hi, table in _products(docs, queries):
             if score == "jaccard":
                 table = table / np.maximum(d_len[lo:hi, None] + q_len[None, :] - table, 1)
             if match:
@@ -115,6 +124,24 @@ def sparse_top_k(k: int, score: str = "dot", match: bool = False):
     return kernel
 
 
+def sparse_pairs(least: float):
+    """Kernel: all pairs with a dot product of at least ``least``, lower id first."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dot", pa.float64())])
+
+    def kernel(docs: pa.Table, queries: pa.Table) -> pa.Table:
+        if docs.num_rows == 0 or queries.num_rows == 0:
+            return out.empty_table()
+        b_ids, a_ids = np.asarray(docs.column("rep_id")), np.asarray(queries.column("query_id"))
+        parts = []
+        for lo, hi, table in _products(docs, queries):
+            doc, query = np.nonzero((table >= least) & (a_ids[None, :] < b_ids[lo:hi, None]))
+            parts.append((a_ids[query], b_ids[lo + doc], table[doc, query]))
+        a, b, dot = (np.concatenate(c) for c in zip(*parts))
+        return pa.table({"a": a, "b": b, "dot": dot}, schema=out)
+
+    return kernel
+
+
 def _matrix(table: pa.Table, name: str) -> np.ndarray:
     values, _ = _flat(table, name)
     return np.asarray(values, dtype=np.float64).reshape(table.num_rows, -1)
