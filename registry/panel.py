@@ -143,7 +143,7 @@ def project_measure(spark, d):
     return clean.project_measure(order_panel(spark, d), "entity", "period", "medium", "value")
 
 
-def _as_codes(d, spark):
+def _as_codes(spark, d):
     """The order panel with measure codes as column names, one of them with a symbol."""
     p = order_panel(spark, d)
     return p.select("entity", "period", F.col("urgent").alias("K&A"), F.col("high").alias("DD"),
@@ -155,7 +155,7 @@ def _as_codes(d, spark):
   UNION ALL SELECT entity, period, 'Dowry Deaths', high FROM panel
   UNION ALL SELECT entity, period, 'WT', low FROM panel""")
 def measure_names(spark, d):
-    return panel.named_long(_as_codes(d, spark), ["entity", "period"], ["K&A", "DD", "WT"],
+    return panel.named_long(_as_codes(spark, d), ["entity", "period"], ["K&A", "DD", "WT"],
                             MEASURE_NAMES)
 
 
@@ -210,7 +210,7 @@ def filter_panel(spark, d):
 @query("WITH" + ORDER_PANEL + """SELECT entity, period, 'Dowry Deaths' AS measure, high AS value
    FROM panel WHERE entity = 'NATION_3'""")
 def filter_panel_long(spark, d):
-    long = panel.named_long(_as_codes(d, spark), ["entity", "period"], ["K&A", "DD", "WT"],
+    long = panel.named_long(_as_codes(spark, d), ["entity", "period"], ["K&A", "DD", "WT"],
                             MEASURE_NAMES)
     return panel.filter_panel_long(long, "entity", "period", of="NATION_3", measure="DD",
                                    names=MEASURE_NAMES)

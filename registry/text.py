@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import columns as C
 from panelspark.operators import metrics, similar, spell, text
-from panelspark.operators.panel import top_within
 from panelspark.session import materialise, work_folder
 from registry.book import query
 from registry.sql import (ALPHA, INDEX, INDEXED, QUERY_VECTORS, STOP_WORDS, STOP, TERMS, WORDS, in_test,
@@ -92,7 +91,6 @@ def normalise_terms(spark, d):
 
 
 CODES = f"list_transform(list_filter({WORDS}, lambda t: regexp_matches(t, '^[a-z]')), lambda t: {soundex('t')})"
-BIGRAMS = f"list_transform(generate_series(1, len({WORDS}) - 1), lambda i: {WORDS}[i] || '_' || {WORDS}[i + 1])"
 
 
 @query(f"SELECT conv_id, turn, array_to_string({CODES}, ' ') AS codes FROM conversations")
