@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import kd_shards, lines, mixing, quality
+from panelspark.llm import jaccard_join, kd_shards, lines, mixing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,22 @@ FROM j GROUP BY doc_id
 def op9_line_spread(spark, sf_dir):
     return lines.judge_lines(documents(spark, sf_dir)).select(
         "row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+JACCARD_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, shingle FROM (
+  SELECT doc_id, unnest([w[i:i + 4] FOR i IN range(1, greatest(len(w) - 3, 2))]) AS shingle FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS joint FROM s a JOIN s b ON a.shingle = b.shingle
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * joint >= 4 * (x.n + y.n)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT r.a AS doc_id, min(r.b) AS class_id, (SELECT count(*) FROM l WHERE l.a = r.a) AS n_links FROM r GROUP BY r.a
+"""
+
+
+@query(JACCARD_SQL)
+def op3_chosen_path_join(spark, sf_dir):
+    return jaccard_join.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
