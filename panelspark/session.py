@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,25 @@ def build_session(name: str = "panelspark", master: str | None = None, **conf: s
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application.
+
+    Needed wherever the package is not installed on every machine: functions that
+    run in Arrow tasks are pickled by reference to their module.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_panelspark_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="panelspark-package-")  # on the driver, which serves the file itself
+    archive = shutil.make_archive(os.path.join(folder, "panelspark"), "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    context._panelspark_shipped = True
 
 
 def work_folder(spark: SparkSession) -> str:
