@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import jaccard_join, kd_shards, lines, mixing, quality
+from panelspark.llm import jaccard_join, kd_shards, lines, mixing, packing, quality, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,30 @@ SELECT r.a AS doc_id, min(r.b) AS class_id, (SELECT count(*) FROM l WHERE l.a =
 @query(JACCARD_SQL)
 def op3_chosen_path_join(spark, sf_dir):
     return jaccard_join.near_classes(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
+SUBSTRING_SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (
+  SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+m AS (SELECT h, min(doc_id) AS low FROM s GROUP BY h HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (
+  SELECT s.doc_id, unnest(range(i, i + 50)) AS p FROM s JOIN m ON s.h = m.h WHERE low < doc_id) GROUP BY doc_id),
+k AS (SELECT w.doc_id, count(x.word) AS n_words, count(x.word) FILTER (WHERE gone IS NOT NULL AND list_contains(gone, x.i)) AS n_removed,
+    string_agg(x.word, ' ' ORDER BY x.i) FILTER (WHERE gone IS NULL OR NOT list_contains(gone, x.i)) AS kept
+  FROM w LEFT JOIN (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w) x ON w.doc_id = x.doc_id
+  LEFT JOIN g ON w.doc_id = g.doc_id GROUP BY w.doc_id)
+SELECT doc_id, n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k
+"""
+
+
+@query(SUBSTRING_SQL)
+def op4_repeated_spans(spark, sf_dir):
+    return substring.repeated_spans(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op5_pattern_packing(spark, sf_dir):
+    """Tested by round trip and against the least possible number of sequences: SQL has no tokenizer."""
+    return packing.pack(documents(spark, sf_dir))
