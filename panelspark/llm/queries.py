@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import jaccard_join, kd_shards, lines, mixing, packing, quality, substring
+from panelspark.llm import jaccard_join, kd_shards, lines, mixing, packing, quality, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -134,3 +134,9 @@ def op4_repeated_spans(spark, sf_dir):
 def op5_pattern_packing(spark, sf_dir):
     """Tested by round trip and against the least possible number of sequences: SQL has no tokenizer."""
     return packing.pack(documents(spark, sf_dir))
+
+
+@query()
+def op10_compression_toxicity(spark, sf_dir):
+    """Tested by accuracy on held-out labels: SQL has no compressor."""
+    return toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
