@@ -54,15 +54,15 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", text_key().alias("text_key"), "lang", "source", text_or_empty().alias("t"))
     base = base.withColumn("w", words(F.col("t")))
     base = base.withColumn("h", _windows(F.col("w")))
-    ordered = base.withColumn("s", F.array_sort("h"))
+    ordered = base.withColumn("s", F.sort_array("h"))
     repeats = ordered.withColumn("r", F.array_distinct(F.filter(
         F.col("s"), lambda x, i: (i > 0) & (x == F.get(F.col("s"), i - 1)))))
     by_member = F.filter(F.transform(F.col("h"), lambda x, i: F.when(F.array_contains(F.col("r"), x), i)),
                          lambda i: i.isNotNull())
-    pairs = repeats.withColumn("p", F.when(F.size("r") > few, F.array_sort(
+    pairs = repeats.withColumn("p", F.when(F.size("r") > few, F.sort_array(
         F.transform(F.col("h"), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     same = lambda j, i: F.get(F.col("p"), j)["h"] == F.get(F.col("p"), i)["h"]
-    by_sort = F.array_sort(F.transform(F.filter(
+    by_sort = F.sort_array(F.transform(F.filter(
         F.col("p"), lambda x, i: F.coalesce(((i > 0) & same(i - 1, i)), F.lit(False))
         | F.coalesce(same(i + 1, i), F.lit(False))), lambda x: x["i"]))
     placed = pairs.withColumn("places", F.when(F.size("r") == 0, F.array().cast("array<int>"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import jaccard_join, kd_shards, lines, mixing, packing, quality, substring, toxicity
+from panelspark.llm import (fingerprint, gru_lm, jaccard_join, kd_shards, lines, mixing, packing, quality, substring,
+                            toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +141,15 @@ def op5_pattern_packing(spark, sf_dir):
 def op10_compression_toxicity(spark, sf_dir):
     """Tested by accuracy on held-out labels: SQL has no compressor."""
     return toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query()
+def op6_order_min_hash(spark, sf_dir):
+    """Tested against plain Python: SQL engines do not share a 64-bit hash."""
+    return fingerprint.compare_with_next(documents(spark, sf_dir))
+
+
+@query()
+def op7_gru_language_model(spark, sf_dir):
+    """Tested by counting and by held-out likelihood: SQL trains no network."""
+    return gru_lm.score_documents(documents(spark, sf_dir))
