@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import mix, pieces, word_bounds, word_hashes
+from panelspark.llm.common import mix, pieces, small_batches, word_bounds, word_hashes
 from panelspark.session import materialise
 
 STATE, INPUT = 24, 16           # sizes of the recurrent state and of a word's vector
@@ -376,6 +376,7 @@ def score_documents(docs: DataFrame, share: int = TRAIN_SHARE, rounds: int = ROU
     A null or empty text is its end alone.  Rows without an id are training
     rows.  With no training rows every word is unseen.  Repeated rows score alike.
     """
+    small_batches(docs.sparkSession)
     vocabulary = materialise(count_words(docs.where(~held_out(F.col("doc_id")))), "vocabulary")
     known = lexicon(vocabulary)
     weights = train(docs.where(~held_out(F.col("doc_id"))), known, share, rounds)

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import number_within
+from panelspark.llm.common import number_within, small_batches
 from panelspark.session import materialise
 
 CAPACITY = 1024
@@ -219,6 +219,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END_ID, slices: i
     A null or empty text is its end id alone.  Repeated rows are packed each.
     An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     pieces = materialise(token_pieces(docs, capacity, end, **tokenizer).withColumn("row", F.monotonically_increasing_id()), "pieces")
     short = pieces.where(F.col("length") < capacity)
     histogram = np.zeros(capacity + 1, np.int64)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import mix, text_or_empty, words
+from panelspark.llm.common import mix, small_batches, text_or_empty, words
 from panelspark.session import materialise
 
 SAMPLE_ROWS = 20_000       # labelled rows that the classifier is fitted on, at most
@@ -153,6 +153,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     Null and empty texts have no windows and get the score of texts with
     nothing saved.  Without labels every score is near 0.  Rows with the same text get the same score.
     """
+    small_batches(docs.sparkSession)
     distance, calibration = fit(docs, labels, sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
