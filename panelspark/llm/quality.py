@@ -153,19 +153,19 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     stats = materialise(document_statistics(docs).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "statistics")
     words_of, chars = F.col("n_words").cast("double"), F.greatest(F.col("word_chars"), F.lit(1))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(c)
     raw = stats.where(~F.col("base_failed")).select(
-        "doc_id", "text_key", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
-        F.struct(F.col("lang").isNull(), F.col("source").isNull()).cast("string").alias("missing"),
+        "doc_id", "text_key", named("lang"), named("source"),
         F.sqrt(F.col("n_symbols") / chars).alias("symbols"), F.sqrt(F.col("n_capitals") / chars).alias("capitals"),
         F.log(chars / words_of).alias("length"), F.sqrt(F.col("n_calls") / words_of).alias("calls"),
         F.sqrt(words_of / (words_of + SHORT)).alias("shrink"))
-    cells = raw.groupBy("missing", "lang", "source").agg(F.count("*").alias("n"))
-    small = Window.partitionBy("missing", "lang", F.col("n") >= MIN_ROWS)
+    cells = raw.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    small = Window.partitionBy("lang", F.col("n") >= MIN_ROWS)
     cells = cells.withColumn("pooled", F.sum("n").over(small)).select(
-        "missing", "lang", "source", F.when(F.col("n") >= MIN_ROWS, F.concat_ws("\u0001", F.lit("cell"), "missing", "lang", "source"))
-        .when(F.col("pooled") >= MIN_ROWS, F.concat_ws("\u0001", F.lit("lang"), "missing", "lang"))
+        "lang", "source", F.when(F.col("n") >= MIN_ROWS, F.concat_ws("\u0001", F.lit("cell"), "lang", "source"))
+        .when(F.col("pooled") >= MIN_ROWS, F.concat_ws("\u0001", F.lit("lang"), "lang"))
         .otherwise(F.lit("rest")).alias("cell"))
-    raw = raw.join(cells, ["missing", "lang", "source"])
+    raw = raw.join(cells, ["lang", "source"])
     shift = materialise(_medians(raw), "medians")
     rows = materialise(raw.join(shift, "cell").select("doc_id", "text_key", "cell", *[
         ((F.col(c) - F.col(f"mid_{c}")) * F.col("shrink")).alias(c) for c in STATISTICS]), "vectors")

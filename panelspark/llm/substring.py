@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import pieces, text_key, window_hashes, word_bounds, word_hashes
+from panelspark.llm.common import pieces, small_batches, text_key, window_hashes, word_bounds, word_hashes
 from panelspark.session import materialise
 
 WINDOW = 50
@@ -64,9 +64,10 @@ def _look_up(window: int, phrase: int):
                 hashes = word_hashes(data, starts, ends)
                 at = np.flatnonzero(np.isin(_phrases(hashes, window, phrase).view(np.int64), shared[i].values.to_numpy()))
                 found = window_hashes(hashes, window)[at].view(np.int64)
+                row = pa.array(np.full(len(at), i))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(np.full(len(at), i))), pa.array(at.astype(np.int32)), pa.array(found)],
-                    ["doc_id", "at", "window"])
+                    [batch.column("doc_id").take(row), batch.column("lead").take(row), pa.array(at.astype(np.int32)), pa.array(found)],
+                    ["doc_id", "lead", "at", "window"])
     return run
 
 
@@ -128,6 +129,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     Null and empty texts have no words; texts shorter than a run keep all.
     Rows that repeat in full are judged alike, as are rows with an equal id. A null id is smaller than none.
     """
+    small_batches(docs.sparkSession)
     read = materialise(docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(
         _read(window, phrase), docs.select("doc_id").schema.add("text_key", "long").add("words_key", "binary")
         .add("n_words", "long").add("whole_sha256", "string")
@@ -145,16 +147,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
         F.collect_list("phrase").alias("shared"))
     own = docs.select(F.col("doc_id").alias("own_id"), text_key().alias("own_key"), "text")
     texts = materialise(own.join(wanted, (F.col("own_id") == F.col("doc_id")) & (F.col("own_key") == F.col("text_key")))
-                        .select("doc_id", "words_key", "text", "shared"), "texts")
-    windows = materialise(texts.select("doc_id", "text", "shared").mapInArrow(
-        _look_up(window, phrase), texts.select("doc_id").schema.add("at", "integer").add("window", "long")), "windows")
+                        .dropDuplicates(["doc_id", "words_key"])
+                        .select("doc_id", "words_key", "text", "shared", F.monotonically_increasing_id().alias("lead")), "texts")
+    windows = materialise(texts.select("doc_id", "lead", "text", "shared").mapInArrow(
+        _look_up(window, phrase), texts.select("doc_id", "lead").schema.add("at", "integer").add("window", "long")), "windows")
     index = windows.groupBy("window").agg(F.min("doc_id").alias("reference"), F.max("doc_id").alias("last")).where(
         "reference < last").select("window", "reference")
     hits = (windows.join(index, "window").where(F.col("reference") < F.col("doc_id"))
-            .groupBy("doc_id").agg(F.collect_list(F.struct("at", "reference")).alias("hits"))
-            .select("doc_id", F.col("hits.at").alias("at"), F.col("hits.reference").cast("array<bigint>").alias("reference")))
+            .groupBy("lead").agg(F.collect_list(F.struct("at", "reference")).alias("hits"))
+            .select("lead", F.col("hits.at").alias("at"), F.col("hits.reference").cast("array<bigint>").alias("reference")))
     span = docs.sparkSession.createDataFrame([], "a array<struct<start:bigint,length:bigint,reference:bigint>>").schema["a"].dataType
-    cut = texts.select("doc_id", "words_key", "text").join(hits, "doc_id").mapInArrow(
+    cut = texts.select("doc_id", "words_key", "text", "lead").join(hits, "lead").mapInArrow(
         _cut_out(window), texts.select("doc_id", "words_key").schema.add("n_removed", "long").add("kept_sha256", "string")
         .add("spans", span))
     copy = F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False))
