@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import mix, pieces, text_key, window_hashes, word_bounds, word_hashes
-from panelspark.operators.linkage import connected_components
+from panelspark.llm.common import mix, pieces, small_batches, text_key, window_hashes, word_bounds, word_hashes
 from panelspark.session import materialise
 
 WIDTH = 5
@@ -21,8 +20,9 @@ HASHES = 128
 SLACK = 0.11            # three standard deviations of an estimate from 128 hashes
 RECALL = 0.995
 DEPTH = 5
-LIMIT = 512             # sets that are compared with each other at once
+LIMIT = 2048            # sets that are compared with each other at once: 1 MB of signatures
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 1_000_000
+FILTER_SLOTS = 1 << 17
 
 _U = np.uint64
 _ARGUMENTS = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -167,9 +167,9 @@ def _brute(least: float):
     return run
 
 
-def _compare(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _compare(rows: DataFrame, signs: DataFrame, least: float) -> DataFrame:
     """Links inside the buckets of ``(path, set_key)``."""
-    with_sign = rows.join(sets.select("set_key", "sign"), "set_key").select("path", "set_key", "sign")
+    with_sign = rows.select("path", "set_key").join(signs, "set_key").select("path", "set_key", "sign")
     return with_sign.repartition("path").sortWithinPartitions("path").mapInArrow(_brute(least), "a binary, b binary")
 
 
@@ -185,26 +185,28 @@ def candidate_links(sets: DataFrame, threshold: float, recall: float, depth: int
     least = threshold - SLACK
     runs = math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth)))
     rows = materialise(sets.select("set_key", "sign").mapInArrow(_descend(threshold, runs), "path bigint, set_key binary"), "paths")
-    links = []
+    links, signs = [], None
     for level in range(1, depth + 1):
-        buckets = materialise(rows.groupBy("path").agg(
-            F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("who")).where("n > 1"), "buckets")
+        buckets = rows.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set_key")).alias("who")).where("n > 1")
+        live = materialise(rows.join(buckets, "path"), "live")
+        if signs is None:  # most sets meet no other and are done
+            signs = materialise(sets.select("set_key", "sign").join(live.select("set_key").distinct(), "set_key"), "signs")
         # runs often put the same sets together: one bucket of each kind is enough
-        small = buckets.where(F.col("n") <= limit).groupBy("n", "who").agg(F.min("path").alias("path")).select("path")
-        links.append(materialise(_compare(rows.join(small, "path"), sets, least), "links"))
-        large = buckets.where(F.col("n") > limit).select("path", "n")
+        small = live.where(F.col("n") <= limit)
+        chosen = small.groupBy("n", "who").agg(F.min("path").alias("path")).select("path")
+        links.append(materialise(_compare(small.join(chosen, "path", "left_semi"), signs, least), "links"))
+        large = live.where(F.col("n") > limit)
         if large.isEmpty():
             break
-        open_rows = rows.join(large, "path")
         if level == depth:
             blocks = F.ceil(F.col("n") / limit).cast("int")
             mine = F.pmod(F.xxhash64("set_key", F.lit(1)), F.col("blocks")).cast("int")
-            dealt = (open_rows.withColumn("blocks", blocks).withColumn("mine", mine)
+            dealt = (large.withColumn("blocks", blocks).withColumn("mine", mine)
                      .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                      .select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"), "set_key"))
-            links.append(materialise(_compare(dealt, sets, least), "links"))
+            links.append(materialise(_compare(dealt, signs, least), "links"))
         else:
-            rows = materialise(open_rows.join(sets.select("set_key", "sign"), "set_key").select("path", "set_key", "sign")
+            rows = materialise(large.select("path", "set_key").join(signs, "set_key").select("path", "set_key", "sign")
                                .mapInArrow(_descend(threshold), "path bigint, set_key binary"), "paths")
     out = links[0]
     for more in links[1:]:
@@ -212,6 +214,30 @@ def candidate_links(sets: DataFrame, threshold: float, recall: float, depth: int
     return out.distinct()
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, component)`` for every node of ``edges(a, b)``; nodes are hashes.
+
+    Each round, every node goes over to its least neighbour and edges follow
+    until none is left.  As the order of hashes has nothing to do with the graph,
+    a round takes away a share of all nodes; stars, which is what buckets send, need one.
+    """
+    edges = materialise(edges.where(F.col("a") != F.col("b")).distinct(), "edges")
+    labels = None
+    while labels is None or not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = materialise(both.groupBy(F.col("a").alias("old")).agg(F.least(F.min("b"), F.col("old")).alias("new")), "step")
+        if labels is None:
+            labels = step.select(F.col("old").alias("node"), F.col("new").alias("component"))
+        else:
+            labels = labels.join(step, F.col("component") == F.col("old"), "left").select(
+                "node", F.coalesce("new", "component").alias("component"))
+        labels = materialise(labels, "labels")
+        edges = edges.join(step, F.col("a") == F.col("old")).select(F.col("new").alias("a"), "b")
+        edges = edges.join(step, F.col("b") == F.col("old")).select("a", F.col("new").alias("b"))
+        edges = materialise(edges.where(F.col("a") != F.col("b")).distinct(), "edges")
+    return labels
+
+
 def _verify(width: int, threshold: float):
     """Exact similarities inside a task: per set the weight of its partners and the lowest set it hangs together with."""
     def overlaps(items: list[np.ndarray]) -> np.ndarray:
@@ -279,13 +305,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WID
     A text with fewer words than a shingle is one shingle; a text without words
     (null, empty, blanks) is linked to nothing and is a class of its own.
     """
+    small_batches(docs.sparkSession)
     signed = materialise(docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(
         _sign(width), docs.select("doc_id").schema.add("text_key", "long").add("set_key", "binary")
         .add("n", "long").add("sign", "binary")), "signatures")
     sets = materialise(signed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(
         F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_key")).alias("carrier"), F.first("n").alias("n"),
         F.first("sign").alias("sign")), "sets")
-    groups = materialise(connected_components(candidate_links(sets, threshold, recall, depth, limit)).select(
+    groups = materialise(components(candidate_links(sets, threshold, recall, depth, limit)).select(
         F.col("node").alias("set_key"), F.col("component").alias("group")), "groups")
     members = groups.join(sets.drop("sign"), "set_key")
     blocks = members.groupBy("group").agg(F.greatest(
@@ -297,6 +324,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WID
     # in a task of two blocks only pairs across them count
     side = F.when(F.col("mine") == F.col("other"), F.lit(-1)).otherwise(F.col("mine"))
     texts = docs.select(F.col("doc_id").alias("own_id"), text_key().alias("own_key"), "text")
+    # before texts move, a table of at most FILTER_SLOTS numbers drops most of those that are not asked for
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(FILTER_SLOTS))
+    asked = members.select(slot("id", "key").alias("slot")).distinct()
+    texts = texts.withColumn("slot", slot("own_id", "own_key")).join(F.broadcast(asked), "slot", "left_semi")
     tasks = (texts.join(members, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
              .withColumn("mine", mine).withColumn("other", other)
              .select("set_key", "docs", side.alias("side"), "text",
@@ -304,8 +335,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WID
     checked = materialise(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(
         _verify(width, threshold), "set_key binary, root binary, links bigint"), "checked")
     links = checked.groupBy("set_key").agg(F.sum("links").alias("links"))
-    classes = connected_components(checked.where(F.col("set_key") != F.col("root")).select(
-        F.col("set_key").alias("a"), F.col("root").alias("b")))
+    classes = components(checked.select(F.col("set_key").alias("a"), F.col("root").alias("b")))
     named = (sets.select("set_key", "docs", "carrier").join(links, "set_key", "left")
              .join(classes.withColumnRenamed("node", "set_key"), "set_key", "left")
              .withColumn("component", F.coalesce("component", "set_key")))
