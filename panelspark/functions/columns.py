@@ -17,8 +17,12 @@ def as_column(c: str | Column) -> Column:
 
 
 def coerce_numeric(c: str | Column, to: str = "int") -> Column:
-    """Number, or null where the text is none."""
-    return as_column(c).try_cast(to)
+    """Number, or null where the text is none; ``12.0`` is a whole number too."""
+    plain = as_column(c).try_cast(to)
+    if to in ("int", "bigint"):
+        decimal = as_column(c).try_cast("double")
+        return F.coalesce(plain, F.when(decimal == F.floor(decimal), decimal.try_cast(to)))
+    return plain
 
 
 def normalise_key(c: str | Column, mode: str = "strip_symbols") -> Column:

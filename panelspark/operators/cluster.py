@@ -19,6 +19,8 @@ from panelspark.operators.ordering import position
 from panelspark.operators.panel import top_within
 
 Centres = list[list[float]]
+# iterations of a k-means fit, in sweeps as in the final clustering
+ITERATIONS = 300
 
 
 def squared_distance(cols: Sequence[str], centre: Sequence[float]) -> Column:
@@ -64,9 +66,9 @@ def kmeans_lloyd(df: DataFrame, cols: Sequence[str], keys: Sequence[str], k: int
     Starts from ``seeds``, or from ``k`` rows picked by a hash of their keys.
     Only the centres pass through the driver.  An empty cluster keeps its centre.
     """
+    df = df.persist()
     draw = F.xxhash64(F.lit(seed), *[as_column(c) for c in keys])
     centres = seeds or seed_rows(df, [draw, *[as_column(c) for c in keys]], cols, k)
-    df = df.persist()
     for _ in range(max_iter):
         moved = {r[0]: [float(x) for x in r[1:]] for r in lloyd_step(df, cols, centres).collect()}
         new = [moved.get(i, old) for i, old in enumerate(centres)]
@@ -83,7 +85,7 @@ def _assembled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def kmeans(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42,
-           max_iter: int = 300) -> tuple[DataFrame, Centres]:
+           max_iter: int = ITERATIONS) -> tuple[DataFrame, Centres]:
     """k-means with a distributed k-means++ start; keys travel with their rows."""
     points = _assembled(df, cols)
     model = KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed, maxIter=max_iter).fit(points)
@@ -106,7 +108,7 @@ def silhouette(df: DataFrame, key: str, cols: Sequence[str], cluster: str = "clu
     sums = sums.groupBy("query_id", "cluster").agg(F.sum("distance").alias("distance"))
     mine = points.select("query_id", F.col("cluster").alias("own"))
     same = F.col("cluster") == F.col("own")
-    per_point = (sums.join(F.broadcast(sizes), "cluster").join(mine, "query_id")
+    per_point = (sums.join(sizes, "cluster").join(mine, "query_id")
                  .groupBy("query_id").agg(
                      F.max(F.when(same, F.try_divide("distance", F.col("n") - 1))).alias("a"),
                      F.min(F.when(~same, F.col("distance") / F.col("n"))).alias("b"),
@@ -123,29 +125,34 @@ def fast_silhouette(df: DataFrame, cols: Sequence[str], cluster: str = "cluster"
 
 def sweep_k(df: DataFrame, key: str, cols: Sequence[str], ks: Sequence[int] = range(2, 11),
             exact: bool = True, seed: int = 42) -> DataFrame:
-    """``(k, inertia, silhouette)`` for each k below the number of rows.
+    """``(k, inertia, silhouette, reason)`` for each k.
 
-    With ``exact=False`` the silhouette is the one-pass figure on squared
-    distances.  One cluster has silhouette 0.
+    Every k is fitted as the final clustering is.  With ``exact=False`` the
+    silhouette is the one-pass figure on squared distances.  One cluster has
+    silhouette 0.  A k that is not below the number of rows has no figures, and
+    the reason says so.
     """
     spark = df.sparkSession
     points = _assembled(df, cols).persist()
     rows = points.count()
     curve = []
-    for k in (k for k in ks if k < rows):
+    for k in ks:
+        if k >= rows:
+            curve.append((k, None, None, f"only {rows} rows"))
+            continue
         if k == 1:
             around_mean = sum((F.var_pop(as_column(c)) for c in cols), F.lit(0.0)) * rows
-            curve.append((1, float(points.agg(around_mean).first()[0]), 0.0))
+            curve.append((1, float(points.agg(around_mean).first()[0]), 0.0, None))
             continue
-        model = KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed).fit(points)
+        model = KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed, maxIter=ITERATIONS).fit(points)
         labelled = model.transform(points)
         if exact:
             score = silhouette(labelled, key, cols).first()[0]
         else:
             score = ClusteringEvaluator(featuresCol="_x", predictionCol="cluster").evaluate(labelled)
-        curve.append((k, float(model.summary.trainingCost), float(score)))
+        curve.append((k, float(model.summary.trainingCost), float(score), None))
     points.unpersist()
-    return spark.createDataFrame(curve, "k int, inertia double, silhouette double")
+    return spark.createDataFrame(curve, "k int, inertia double, silhouette double, reason string")
 
 
 def knee(curve: DataFrame, x: str = "k", y: str = "inertia") -> DataFrame:

@@ -41,19 +41,29 @@ def lookup(big: DataFrame, attributes: DataFrame, key: str, spread: str,
 
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: str,
                 rows_per_task: int = 200_000) -> DataFrame:
-    """Inner equi-join that cuts every large key group of ``big`` into slices.
+    """Inner equi-join that cuts every large key group into slices, on both sides.
 
-    A key with ``n`` rows in ``big`` gets ``n / rows_per_task`` slices (rows
-    are dealt by the hash of ``spread``); the matching rows of ``small`` are
-    repeated once per slice.  No row is lost and no task gets a whole hot key.
+    A key with ``n`` rows on a side gets ``n / rows_per_task`` slices there (rows
+    are dealt by a hash); each pair of slices meets once, so the rows of one
+    side are repeated once per slice of the other.  No row is lost and no task
+    gets a whole hot key of either side.
     """
     keys = list(keys)
-    counts = big.groupBy(*keys).agg(F.count("*").alias("_n"))
-    slices = F.ceil(F.col("_n") / rows_per_task).cast("int")
-    # only keys above the limit: fewer than rows / rows_per_task of them
-    large = counts.where(F.col("_n") > rows_per_task).select(*keys, slices.alias("_slices"))
-    dealt = big.join(large, keys, "left").withColumn(
-        "_slice", F.pmod(F.xxhash64(spread), F.coalesce(F.col("_slices"), F.lit(1))).cast("int"))
-    repeated = small.join(large, keys, "left").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1)))
-    return dealt.drop("_slices").join(repeated.drop("_slices"), [*keys, "_slice"]).drop("_slice")
+
+    def large(side: DataFrame, name: str) -> DataFrame:
+        # only keys above the limit: fewer than rows / rows_per_task of them
+        counts = side.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_task)
+        return counts.select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias(name))
+
+    slices = large(big, "_bigs").join(large(small, "_smalls"), keys, "full")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+
+    def deal(side: DataFrame, own: str, other: str, mine: str, theirs: str, by: list) -> DataFrame:
+        return (side.join(slices, keys, "left")
+                .withColumn(mine, F.pmod(F.xxhash64(*by), one(own)).cast("int"))
+                .withColumn(theirs, F.explode(F.sequence(F.lit(0), one(other) - 1))).drop("_bigs", "_smalls"))
+
+    rest = [c for c in small.columns if c not in keys] or keys
+    left = deal(big, "_bigs", "_smalls", "_i", "_j", [F.col(spread)])
+    right = deal(small, "_smalls", "_bigs", "_j", "_i", [F.col(c) for c in rest])
+    return left.join(right, [*keys, "_i", "_j"]).drop("_i", "_j")

@@ -8,7 +8,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import as_column, row_total
+from panelspark.functions.columns import as_column, normalise_key, row_total
 from panelspark.operators.clean import measure_names, project_measure
 from panelspark.operators.ordering import exact_quantiles, position
 
@@ -19,11 +19,17 @@ def _sum(c: Column) -> Column:
 
 
 def filter_panel(df: DataFrame, entity: str, period: str, *, at=None, of=None,
-                 measure: str | None = None) -> DataFrame:
-    """Rows of one period and/or one entity, and one measure if named."""
+                 measure: str | None = None, normalise: str | None = "and") -> DataFrame:
+    """Rows of one period and/or one entity, and one measure if named.
+
+    A text argument is brought to the same spelling as the column
+    (``normalise_key``; None compares them as they are).
+    """
     if at is not None:
         df = df.where(as_column(period) == F.lit(at))
-    if of is not None:
+    if of is not None and normalise and isinstance(of, str):
+        df = df.where(normalise_key(entity, normalise) == normalise_key(F.lit(of), normalise))
+    elif of is not None:
         df = df.where(as_column(entity) == F.lit(of))
     return project_measure(df, entity, period, measure) if measure is not None else df
 

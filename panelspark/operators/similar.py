@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import as_column, soundex_codes
+from panelspark.functions.columns import as_column, normalise_label, soundex_codes
 from panelspark.operators.blocks import meet
 from panelspark.operators.joins import salted_join
 from panelspark.operators.kernels import dense_top_k, sparse_top_k
@@ -233,16 +233,20 @@ def attach_attributes(predictions: DataFrame, catalogue: DataFrame,
                       attributes: Sequence[str]) -> DataFrame:
     """Catalogue attributes of each predicted label, and whether the label was found.
 
-    A label that occurs twice in the catalogue counts with its first row.
+    Labels meet trimmed and lower-cased.  A label that occurs twice in the
+    catalogue counts with its first row.
     """
-    unique = first_row_per_key(catalogue, "label").select("label", *attributes, F.lit(True).alias("found"))
-    return predictions.join(unique, "label", "left").withColumn(
+    spelt = catalogue.withColumn("_label", normalise_label("label"))
+    unique = first_row_per_key(spelt, "_label").select("_label", *attributes, F.lit(True).alias("found"))
+    return predictions.join(unique, normalise_label(predictions["label"]) == F.col("_label"), "left").drop("_label").withColumn(
         "found", F.coalesce("found", F.lit(False)))
 
 
 def missing_labels(predictions: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Predicted labels without information."""
-    return predictions.select("label").distinct().join(catalogue, "label", "left_anti")
+    known = catalogue.select(normalise_label("label").alias("_label")).distinct()
+    wanted = predictions.select("label").distinct()
+    return wanted.join(known, normalise_label(wanted["label"]) == F.col("_label"), "left_anti")
 
 
 def rows_of_label(predictions: DataFrame, docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ share one vector, so a group of copies is indexed and compared once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -40,18 +41,22 @@ class TextIndex:
         return postings(self.vectors, "rep_id")
 
     def save(self, path: str) -> None:
-        """Write all tables; the one-row size table last, as the mark of a whole index."""
+        """Write all tables under a new version, then add the version to the list of whole ones."""
+        version = uuid.uuid4().hex
         for name in TABLES:
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+            getattr(self, name).write.parquet(f"{path}/{version}/{name}")
+        (self.size.select(F.lit(version).alias("version"), F.current_timestamp().alias("written"))
+         .write.mode("append").parquet(f"{path}/versions"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "TextIndex | None":
-        """The saved index, or None where there is none."""
+        """The index that was saved last, or None where there is none."""
         try:
-            return cls(**{name: spark.read.parquet(f"{path}/{name}")
-                          for name in reversed(TABLES)})
+            versions = spark.read.parquet(f"{path}/versions")
         except AnalysisException:
             return None
+        version = versions.agg(F.max_by("version", F.struct("written", "version"))).first()[0]
+        return cls(**{name: spark.read.parquet(f"{path}/{version}/{name}") for name in TABLES})
 
 
 def stop_word_list(*languages: str) -> list[str]:
@@ -69,19 +74,28 @@ def postings(vectors: DataFrame, key: str, extra: Sequence[str] = ()) -> DataFra
 def normalise_terms(df: DataFrame, key: str, col: str, lexicon: DataFrame) -> DataFrame:
     """Replace every token by its base form from ``lexicon(term, base)``.
 
-    The lexicon meets the distinct terms only; each document is then rebuilt in
-    token order.  A document's tokens are bounded by its own text.
+    Only terms that have another base meet their documents.
     """
-    spread = df.select(key, F.posexplode(col).alias("pos", "term"))
-    used = spread.groupBy("term").agg(F.count("*").alias("_n"))
-    bases = used.join(lexicon, "term", "left").select(
-        "term", "_n", F.coalesce("base", "term").alias("base"))
-    rebuilt = (lookup(spread, bases, "term", key, "_n")
-               .groupBy(key).agg(F.transform(
-                   F.sort_array(F.collect_list(F.struct("pos", "base"))),
-                   lambda p: p["base"]).alias("_base")))
-    return df.join(rebuilt, key, "left").withColumn(
-        col, F.coalesce("_base", F.array().cast("array<string>"))).drop("_base")
+    changes = lexicon.where(F.col("base") != F.col("term")).select(F.col("term").alias("word"), F.col("base").alias("new"))
+    return rewrite_tokens(df, key, col, changes)
+
+
+def rewrite_tokens(df: DataFrame, key: str, col: str, changes: DataFrame) -> DataFrame:
+    """Put ``changes(word, new)`` into token arrays, in place.
+
+    Each document sends its distinct tokens; those that change come back as one
+    small map per document.  Tokens that stay as they are never move.
+    """
+    changes = changes.where(F.col("new") != F.col("word"))
+    words = df.select(key, F.explode(F.array_distinct(col)).alias("word")).join(changes.select("word"), "word", "left_semi")
+    sized = words.groupBy("word").agg(F.count("*").alias("_n")).join(changes, "word")
+    # a map holds the changed words of one text
+    maps = lookup(words, sized, "word", key, "_n").groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "new"))).alias("_new"))
+    renamed = F.transform(col, lambda t: F.coalesce(F.try_element_at("_new", t), t))
+    empty = F.array().cast("array<string>")
+    return df.join(maps, key, "left").withColumn(
+        col, F.coalesce(F.when(F.col("_new").isNull(), F.col(col)).otherwise(renamed), empty)).drop("_new")
 
 
 def _unit_vectors(weighted: DataFrame, key: str, extra: Sequence[str] = ()) -> DataFrame:

@@ -26,14 +26,18 @@ def prepare_entities(df: DataFrame, entity: str, measures: Sequence[str]) -> Dat
     """One row per entity: mean of the clipped, log-scaled measures, and their total."""
     rows = clean.normalise_keys(df, entity, "and")
     rows = clean.fill_missing(rows, measures)
+    rows = materialise(rows, "filled")  # read for its limits and for its rows
     rows = clean.log1p(clean.winsorise_iqr(rows, measures), measures)
     return panel.mean_by_entity(rows, entity, measures)
 
 
 def entity_clusters(df: DataFrame, entity: str, measures: Sequence[str],
-                    ks: Sequence[int] = range(2, 11), exact: bool = True,
+                    ks: Sequence[int] = range(2, 11), exact: bool = False,
                     seed: int = 42) -> EntityClusters:
-    """Prepare, choose k by the best silhouette, cluster and describe."""
+    """Prepare, choose k by the best silhouette, cluster and describe.
+
+    The silhouette is the one-pass figure; ``exact`` asks for all distances.
+    """
     means = materialise(position(
         prepare_entities(df, entity, measures), [F.col(entity)], "row"), "entities")
     points = materialise(clean.standardise(means, measures), "points")

@@ -15,12 +15,13 @@ from panelspark.session import materialise
 
 
 def classify_texts(queries: DataFrame, docs: DataFrame, index: TextIndex, k: int,
-                   attributes: Sequence[str] = (), stop_words: Sequence[str] = ()) -> DataFrame:
+                   attributes: Sequence[str] = (), stop_words: Sequence[str] = (),
+                   means: DataFrame | None = None) -> DataFrame:
     """Label every query by its ``k`` nearest documents.
 
     Clean, correct each word that sounds like its nearest index term, vote,
     attach the attributes of the label's first document and the cosine to the
-    label's mean vector.  ``suggestion`` holds the corrected text where it differs.
+    label's mean vector (``means``, where the caller has them).  ``suggestion`` holds the corrected text where it differs.
     """
     prepared = queries.select("query_id", tokens("text", "words", stop_words).alias("tokens"))
     corrected = materialise(
@@ -28,7 +29,7 @@ def classify_texts(queries: DataFrame, docs: DataFrame, index: TextIndex, k: int
     vectors = transform_tfidf(corrected, index, term_array=index_terms(F.col("tokens")))
     votes = materialise(similar.vote(similar.nearest_docs(vectors, index, k)), "votes")
     centre = similar.centroid_cosine(
-        vectors.join(votes.select("query_id", "label"), "query_id"), similar.centroids(index))
+        vectors.join(votes.select("query_id", "label"), "query_id"), similar.centroids(index) if means is None else means)
     first = similar.first_row_per_key(docs.select("doc_id", "label", *attributes), "label")
     texts = prepared.select("query_id", F.array_join("tokens", " ").alias("before")).join(
         corrected.select("query_id", F.array_join("tokens", " ").alias("after")), "query_id")

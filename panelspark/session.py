@@ -61,13 +61,29 @@ def work_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="panelspark-")
     spark.sparkContext.setCheckpointDir(folder)
     return spark.sparkContext.getCheckpointDir()
 
 
+def work_root(spark: SparkSession) -> str:
+    """This application's part of the work folder."""
+    return f"{work_folder(spark).rstrip('/')}/panelspark/{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application.
+
+    For when the results built on them have been written: a DataFrame that still
+    reads them can no longer be computed.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the work folder and read it back.
 
@@ -75,7 +91,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     stages a columnar scan with known size instead of a recomputation.
     """
     spark = df.sparkSession
-    path = f"{work_folder(spark).rstrip('/')}/panelspark/{uuid.uuid4().hex}/{name}"
+    path = f"{work_root(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import as_column, coerce_numeric
+from panelspark.functions.columns import as_column, coerce_numeric, normalise_label
+from panelspark.operators.ordering import position
 
 
 def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -23,22 +24,41 @@ def drop_row_id(df: DataFrame, name: str = "_c0") -> DataFrame:
     return df.drop(name)
 
 
-def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, fmt: str, multi_line: bool = False) -> DataFrame:
     if fmt == "csv":
         # all columns as text: no inference pass over the data
-        return (spark.read.option("header", True).option("multiLine", True)
+        return (spark.read.option("header", True).option("multiLine", multi_line)
                 .option("quote", '"').option("escape", '"').csv(path))
     return spark.read.format(fmt).load(path)
 
 
+def _numbered(raw: DataFrame, cols: Sequence[Column], doc_id: str | None) -> DataFrame:
+    """The columns with ``doc_id``: the named column, or the 1-based place of the row in the files by path.
+
+    Inside a piece of a file row numbers rise with the rows; pieces and files
+    are read in any order, so their path and start come first.
+    """
+    if doc_id:
+        return raw.select(as_column(doc_id).cast("bigint").alias("doc_id"), *cols)
+    placed = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+                        F.monotonically_increasing_id().alias("_nth"), *cols)
+    order = [F.col("_file"), F.col("_start"), F.col("_nth")]
+    return position(placed, order, "_place").select(F.col("_place").alias("doc_id"), "*").drop("_file", "_start", "_nth", "_place")
+
+
+def _label(name: str, normalise: bool) -> Column:
+    return (normalise_label(name) if normalise else as_column(name)).alias("label")
+
+
 def read_panel(spark: SparkSession, path: str, entity: str, period: str,
-               measures: Sequence[str], fmt: str = "csv") -> DataFrame:
+               measures: Sequence[str], fmt: str = "csv", multi_line: bool = False) -> DataFrame:
     """Wide panel: entity text, whole-number period, whole-number measures.
 
     Values that are no numbers become null.  Other columns, such as a row id,
-    are not read.
+    are not read.  ``multi_line`` allows line breaks inside quotes; such a file
+    is read by one task.
     """
-    raw = require_columns(_read(spark, path, fmt), [entity, period, *measures])
+    raw = require_columns(_read(spark, path, fmt, multi_line), [entity, period, *measures])
     return raw.select(
         as_column(entity), coerce_numeric(period).alias(period),
         *[coerce_numeric(m, "bigint").alias(m) for m in measures])
@@ -46,21 +66,19 @@ def read_panel(spark: SparkSession, path: str, entity: str, period: str,
 
 def read_labelled_text(spark: SparkSession, path: str, label: str, text: str,
                        attributes: Sequence[str] = (), doc_id: str | None = None,
-                       fmt: str = "csv") -> DataFrame:
-    """``(doc_id, label, text, attributes...)``.
+                       fmt: str = "csv", multi_line: bool = True, normalise: bool = True) -> DataFrame:
+    """``(doc_id, label, text, attributes...)``; labels trimmed and lower-cased unless told otherwise.
 
-    Without an id column the id follows the place of the row in the files.
+    Without an id column the id is the place of the row in the files.
     """
-    raw = require_columns(_read(spark, path, fmt),
+    raw = require_columns(_read(spark, path, fmt, multi_line),
                           [label, text, *attributes, *([doc_id] if doc_id else [])])
-    ident = as_column(doc_id).cast("bigint") if doc_id else F.monotonically_increasing_id()
-    return raw.select(ident.alias("doc_id"), as_column(label).alias("label"),
-                      as_column(text).alias("text"), *[as_column(a) for a in attributes])
+    return _numbered(raw, [_label(label, normalise), as_column(text).alias("text"),
+                           *[as_column(a) for a in attributes]], doc_id)
 
 
-def read_catalogue(spark: SparkSession, path: str, label: str, attributes: Sequence[str],
-                   fmt: str = "csv") -> DataFrame:
-    """One row of attributes per label, in file order (``doc_id``)."""
-    raw = require_columns(_read(spark, path, fmt), [label, *attributes])
-    return raw.select(F.monotonically_increasing_id().alias("doc_id"),
-                      as_column(label).alias("label"), *[as_column(a) for a in attributes])
+def read_catalogue(spark: SparkSession, path: str, label: str, attributes: Sequence[str], doc_id: str | None = None,
+                   fmt: str = "csv", multi_line: bool = True, normalise: bool = True) -> DataFrame:
+    """Attributes per label, in file order (``doc_id``); labels as in ``read_labelled_text``."""
+    raw = require_columns(_read(spark, path, fmt, multi_line), [label, *attributes, *([doc_id] if doc_id else [])])
+    return _numbered(raw, [_label(label, normalise), *[as_column(a) for a in attributes]], doc_id)

@@ -107,7 +107,7 @@ def knee(spark, d):
 def choose_k(spark, d):
     """k by the knee of the inertia and by the silhouette, over the scaled panel."""
     points = position(scaled_panel(spark, d), [F.col("entity"), F.col("period")], "row")
-    return cluster.choose_k(cluster.sweep_k(points, "row", MEASURES, range(1, 9), exact=False))
+    return cluster.choose_k(cluster.sweep_k(points, "row", MEASURES, range(1, 21), exact=False))
 
 
 @query()
@@ -217,12 +217,12 @@ def single_link_merges(spark, d):
 
 @query()
 def divisive_clusters(spark, d):
-    return linkage.divisive_clusters(documents(spark, d), C.tokens("text", stop_words=STOP_WORDS), 4)
+    return linkage.divisive_clusters(index(spark, d), 4)
 
 
 @query()
 def divisive_sweep(spark, d):
-    return linkage.divisive_sweep(documents(spark, d), C.tokens("text", stop_words=STOP_WORDS), range(2, 6))
+    return linkage.divisive_sweep(index(spark, d))
 
 
 # -------------------------------------------------------------- questions

@@ -143,19 +143,19 @@ def project_measure(spark, d):
     return clean.project_measure(order_panel(spark, d), "entity", "period", "medium", "value")
 
 
+CODES = {"urgent": "K&A", "high": "DD", "medium": "AoW", "unspecified": "DV", "low": "WT"}
+
+
 def _as_codes(spark, d):
     """The order panel with measure codes as column names, one of them with a symbol."""
     p = order_panel(spark, d)
-    return p.select("entity", "period", F.col("urgent").alias("K&A"), F.col("high").alias("DD"),
-                    F.col("low").alias("WT"))
+    return p.select("entity", "period", *[F.col(m).alias(code) for m, code in CODES.items()])
 
 
-@query("WITH" + ORDER_PANEL + """
-  SELECT entity, period, 'Kidnapping and Abduction' AS measure, urgent AS value FROM panel
-  UNION ALL SELECT entity, period, 'Dowry Deaths', high FROM panel
-  UNION ALL SELECT entity, period, 'WT', low FROM panel""")
+@query("WITH" + ORDER_PANEL + " UNION ALL ".join(
+    f"SELECT entity, period, '{MEASURE_NAMES.get(code, code)}' AS measure, {m} AS value FROM panel" for m, code in CODES.items()))
 def measure_names(spark, d):
-    return panel.named_long(_as_codes(spark, d), ["entity", "period"], ["K&A", "DD", "WT"],
+    return panel.named_long(_as_codes(spark, d), ["entity", "period"], list(CODES.values()),
                             MEASURE_NAMES)
 
 
@@ -210,7 +210,7 @@ def filter_panel(spark, d):
 @query("WITH" + ORDER_PANEL + """SELECT entity, period, 'Dowry Deaths' AS measure, high AS value
    FROM panel WHERE entity = 'NATION_3'""")
 def filter_panel_long(spark, d):
-    long = panel.named_long(_as_codes(spark, d), ["entity", "period"], ["K&A", "DD", "WT"],
+    long = panel.named_long(_as_codes(spark, d), ["entity", "period"], list(CODES.values()),
                             MEASURE_NAMES)
     return panel.filter_panel_long(long, "entity", "period", of="NATION_3", measure="DD",
                                    names=MEASURE_NAMES)

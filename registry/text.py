@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import columns as C
 from panelspark.operators import metrics, similar, spell, text
-from panelspark.session import materialise, work_folder
+from panelspark.session import materialise, work_root
+from panelspark.sources import tables
 from registry.book import query
 from registry.sql import (ALPHA, INDEX, INDEXED, QUERY_VECTORS, STOP_WORDS, STOP, TERMS, WORDS, in_test,
                           soundex)
@@ -156,23 +157,21 @@ def transform_tfidf(spark, d):
 @query("WITH" + INDEX + "SELECT term, df, round(idf, 6) AS idf FROM vocab")
 def saved_text_index(spark, d):
     """The vocabulary of an index that was saved and loaded again."""
-    path = f"{work_folder(spark)}/panelspark/{uuid.uuid4().hex}/index"
+    path = f"{work_root(spark)}/{uuid.uuid4().hex}/index"
     index(spark, d).save(path)
     return text.TextIndex.load(spark, path).vocab.withColumn("idf", six("idf"))
 
 
 # --------------------------------------------------------------- spelling
 
-VOCABULARY = f"""vocab AS (SELECT term FROM (SELECT DISTINCT doc_id, unnest({ALPHA}) AS term FROM documents)
-   WHERE length(term) >= 2 GROUP BY term HAVING count(*) >= 5),
+VOCABULARY = f"""vocab AS (SELECT DISTINCT term FROM (SELECT unnest({ALPHA}) AS term FROM documents) WHERE length(term) >= 2),
   words AS (SELECT DISTINCT unnest({ALPHA}) AS word FROM conversations)"""
 
 
 def spelling_vocabulary(spark, d):
-    """Terms that occur in five documents or more."""
+    """All terms of the documents with two letters or more."""
     terms = F.explode(F.array_distinct(C.tokens("text", "alpha"))).alias("term")
-    return (documents(spark, d).select(terms).where(F.length("term") >= 2)
-            .groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= 5).select("term"))
+    return documents(spark, d).select(terms).where(F.length("term") >= 2).distinct()
 
 
 def spoken(spark, d):
@@ -324,38 +323,42 @@ def best_cosine(spark, d):
     return similar.best_cosine(vectors.join(predicted, "query_id"), ix).withColumn("score", six("score"))
 
 
-# conversation turns against the documents of a language: every turn asks for English
-TURNS = "t AS (SELECT conv_id * 1000 + turn AS query_id, 'en' AS label, text FROM conversations)"
+# the benchmark texts against the documents of the label that their neighbours predict
+TURNS = "t AS (SELECT item_id AS query_id, pred.label, text FROM benchmark LEFT JOIN pred ON query_id = item_id)"
 
 
-def turns(spark, d):
-    return table(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"),
-        F.lit("en").alias("label"), "text")
+def labelled_texts(spark, d):
+    ix, vectors = indexed(spark, d)
+    predicted = similar.vote(similar.nearest_docs(vectors, ix, 5)).select("query_id", "label")
+    return materialise(benchmark(spark, d).join(predicted, "query_id", "left"), "labelled_texts")
 
 
 BLANK_SET = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> ''))"
 
 
-@query(f"""WITH {TURNS},
-   qw AS (SELECT query_id, label, unnest({BLANK_SET}) AS w FROM t),
+@query(INDEXED + f""", {TURNS},
+   aw AS (SELECT query_id, label, unnest({BLANK_SET}) AS w FROM t),
    ds AS MATERIALIZED (SELECT doc_id, lang AS label, {BLANK_SET} AS s FROM documents),
    dw AS (SELECT doc_id, label, unnest(s) AS w, len(s) AS n FROM ds),
    hits AS (SELECT query_id, doc_id, 100.0 * count(*) / any_value(n) AS p
-     FROM qw JOIN dw USING (label, w) GROUP BY ALL)
+     FROM aw JOIN dw USING (label, w) GROUP BY ALL)
    SELECT query_id, round(coalesce(max(p), 0), 6) AS score FROM t LEFT JOIN hits USING (query_id)
    GROUP BY query_id""")
 def best_overlap(spark, d):
-    return similar.best_overlap(turns(spark, d), documents(spark, d)).withColumn("score", six("score"))
+    return similar.best_overlap(labelled_texts(spark, d), documents(spark, d)).withColumn("score", six("score"))
 
 
-@query(rf"""SELECT item_id, round(100.0 * len(list_intersect(a, b)) / len(b), 6) AS percent FROM (
-    SELECT item_id, {BLANK_SET} AS a, list_distinct(list_filter(regexp_split_to_array(
-      lower(substr(text, 1, 60)), '\s+'), lambda t: t <> '')) AS b FROM benchmark)""")
+@query(INDEXED + f""", pair AS (SELECT query_id, near.doc_id, b.text AS asked, o.text AS held FROM near
+     JOIN benchmark b ON item_id = query_id JOIN documents o ON o.doc_id = near.doc_id),
+   sets AS (SELECT query_id, doc_id, {BLANK_SET.replace('text', 'asked')} AS a, {BLANK_SET.replace('text', 'held')} AS b FROM pair)
+   SELECT query_id, doc_id, round(coalesce(100.0 * len(list_intersect(a, b)) / nullif(len(b), 0), 0), 6) AS percent FROM sets""")
 def overlap_percent(spark, d):
-    """Each benchmark text against its own opening."""
-    return table(spark, d, "benchmark").select("item_id", six(C.overlap_percent(
-        "text", F.substring("text", 1, 60))).alias("percent"))
+    """Each benchmark text against its nearest documents."""
+    ix, vectors = indexed(spark, d)
+    near = similar.nearest_docs(vectors, ix, 5).select("query_id", "doc_id")
+    pairs = near.join(benchmark(spark, d).withColumnRenamed("text", "asked"), "query_id").join(
+        documents(spark, d).select("doc_id", F.col("text").alias("held")), "doc_id")
+    return pairs.select("query_id", "doc_id", six(C.overlap_percent("asked", "held")).alias("percent"))
 
 
 SPOKEN_CODES = (r"list_transform(list_filter(regexp_split_to_array(lower(text), '\s+'), "
@@ -363,7 +366,7 @@ SPOKEN_CODES = (r"list_transform(list_filter(regexp_split_to_array(lower(text),
                 + soundex("t") + ")")
 
 
-@query(f"""WITH {TURNS},
+@query(INDEXED + f""", {TURNS},
    qc AS (SELECT query_id, label, c, count(*) AS n FROM (SELECT query_id, label,
      unnest({SPOKEN_CODES}) AS c FROM t) GROUP BY ALL),
    dc AS (SELECT doc_id, label, c, count(*) AS n FROM (SELECT doc_id, lang AS label,
@@ -375,7 +378,7 @@ SPOKEN_CODES = (r"list_transform(list_filter(regexp_split_to_array(lower(text),
      JOIN ds USING (doc_id) GROUP BY query_id)
    SELECT query_id, round(coalesce(j, 0), 6) AS score FROM t LEFT JOIN s USING (query_id)""")
 def best_phonetic(spark, d):
-    return similar.best_phonetic(turns(spark, d), documents(spark, d)).withColumn("score", six("score"))
+    return similar.best_phonetic(labelled_texts(spark, d), documents(spark, d)).withColumn("score", six("score"))
 
 
 # ---------------------------------------------------- lookups by label
@@ -403,6 +406,11 @@ def attach_attributes(spark, d):
     return similar.attach_attributes(_sources_wanted(spark, d), _catalogue(spark, d), ["lang", "n_chars"])
 
 
+@query("SELECT doc_id, lower(trim(source)) AS label, lang, n_chars FROM documents")
+def read_catalogue(spark, d):
+    return tables.read_catalogue(spark, f"{d}/documents.parquet", "source", ["lang", "n_chars"], "doc_id", "parquet")
+
+
 @query(f"""WITH {CATALOGUE}, {WANTED} SELECT DISTINCT label FROM wanted
    WHERE label NOT IN (SELECT label FROM catalogue)""")
 def missing_labels(spark, d):

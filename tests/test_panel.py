@@ -119,3 +119,35 @@ def test_statistics_stay_in_the_jvm_without_cartesian(spark, small):
 
 def test_fixed_message():
     assert NO_DOMINANT_MEASURE == "No significantly high crime rates"
+
+
+def test_numbers_with_a_decimal_point_are_kept(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("State,Year,A\nx,2001.0,12.0\ny,2002,1.5\nz,n/a,3\n", encoding="utf8")
+    out = source.read_panel(spark, str(tmp_path), "State", "Year", ["A"]).orderBy("State").collect()
+    assert [tuple(r) for r in out] == [("x", 2001, 12), ("y", 2002, None), ("z", None, 3)]
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("label,text\n Flu\u00a0,first\n", encoding="utf8")
+    (tmp_path / "b.csv").write_text("label,text\n" + "".join(f"Flu,row {i} of the longer file\n" for i in range(200)), encoding="utf8")
+    out = source.read_labelled_text(spark, str(tmp_path), "label", "text").orderBy("doc_id").collect()
+    assert [r.doc_id for r in out] == list(range(1, 202))
+    assert (out[0].label, out[0].text, out[1].text, out[200].text) == (
+        "flu", "first", "row 0 of the longer file", "row 199 of the longer file")
+
+
+def test_catalogue_labels_meet_in_one_spelling(spark, tmp_path):
+    from panelspark.operators import similar
+    (tmp_path / "c.csv").write_text("disease,doctor\nFlu ,x\nflu,y\n", encoding="utf8")
+    catalogue = source.read_catalogue(spark, str(tmp_path), "disease", ["doctor"])
+    asked = spark.createDataFrame([(1, "FLU"), (2, "gout")], "query_id int, label string")
+    out = similar.attach_attributes(asked, catalogue, ["doctor"]).orderBy("query_id").collect()
+    assert [(r.label, r.doctor, r.found) for r in out] == [("FLU", "x", True), ("gout", None, False)]
+    assert [r.label for r in similar.missing_labels(asked, catalogue).collect()] == ["gout"]
+
+
+def test_filter_arguments_are_spelt_like_the_column(spark):
+    from panelspark.operators import panel
+    rows = spark.createDataFrame([("A & B", 1, 2), ("a and b ", 2, 3), ("C", 1, 4)], "State string, Year int, m int")
+    assert panel.filter_panel(rows, "State", "Year", of=" A and B").count() == 2
+    assert panel.filter_panel(rows, "State", "Year", of="A & B", normalise=None).count() == 1

@@ -1,7 +1,4 @@
-"""Registered queries against their SQL, on the smallest tables.
-
-All of them run with PANELSPARK_ALL=1; otherwise the quick ones do.
-"""
+"""Registered queries against their SQL, on the smallest tables."""
 
 import os
 
@@ -9,13 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connection, difference, spark_rows, sql_rows
-from registry import panel
+from registry import book
 
 FOLDER = "/root/testdata/sf0.001"
-QUICK = [n for n, f in entry.queries().items() if f.__module__ == panel.__name__ and n in entry.oracle_sql()]
-QUICK += ["clean_text_isalpha", "normalise_key_title", "split_list_field", "transform_tfidf", "knn_text",
-          "best_cosine", "lloyd_step", "knn_numeric", "answer_questions"]
-NAMES = list(entry.oracle_sql()) if os.environ.get("PANELSPARK_ALL") else list(dict.fromkeys(QUICK))
+NAMES = list(book.ORACLES)
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
