@@ -109,3 +109,21 @@ def answer_questions(params: DataFrame, panel: DataFrame, entity: str, period: s
     return asked.join(answers, same, "left").select(
         "question_id", "route", "measure", "period", "place", "entity", "value",
         F.when(F.col("_answered"), F.col("answer")).otherwise(F.lit(NO_ANSWER)).alias("answer"))
+
+
+def trend_series(params: DataFrame, panel: DataFrame, period: str, measures: Sequence[str],
+                 topics: Mapping[str, str], total: str = "total") -> DataFrame:
+    """``(measure, period, value)``: the yearly sums behind the trend answers.
+
+    One series per measure that a trend question asks for; a question meets its
+    series by the ``measure`` of its answer, so a measure that all questions ask
+    for is computed and kept once.
+    """
+    known = F.create_map(*[F.lit(x) for pair in topics.items() for x in pair])
+    wanted = params.where("trend").select(F.try_element_at(known, F.col("topic")).alias("measure")).distinct()
+    named = panel.select(as_column(period).cast("int").alias("period"), *[as_column(m).cast("bigint").alias(m) for m in measures],
+                         row_total(measures).alias(total))
+    names = [*measures, total]
+    sums = named.groupBy("period").agg(*[F.sum(m).alias(m) for m in names])
+    return sums.unpivot(["period"], names, "measure", "value").join(wanted, "measure", "left_semi").select(
+        "measure", "period", "value")

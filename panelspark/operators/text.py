@@ -175,3 +175,13 @@ def label_terms(docs: DataFrame, col: str = "text") -> DataFrame:
         F.min(F.struct("doc_id", "pos")).alias("first"))
     return position(first, [F.col("first")], "place", within=["label"]).select(
         "label", "place", "item")
+
+
+def label_term_text(docs: DataFrame, col: str = "text", separator: str = " ; ") -> DataFrame:
+    """``(label, terms)``: the items of ``label_terms`` as one text per label.
+
+    One text holds every different item of its label; take ``label_terms``
+    where that may be too much for a row.
+    """
+    placed = label_terms(docs, col).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("place", "item"))).alias("p"))
+    return placed.select("label", F.array_join(F.transform("p", lambda x: x["item"]), separator).alias("terms"))

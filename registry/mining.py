@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import columns as C
 from panelspark.operators import clean, cluster, linkage, metrics, panel, questions, similar
 from panelspark.operators.ordering import position
-from panelspark.plans.entities import entity_clusters as cluster_entities
+from panelspark.plans.entities import entity_clusters as cluster_entities, prepare_entities as prepare
 from panelspark.plans.text import analyse_texts as analyse, classify_texts as classify
 from registry.book import query
 from registry.sql import INDEX, STOP_WORDS
@@ -57,6 +57,28 @@ def kmeans_lloyd(spark, d):
     return out.select("entity", "period", "cluster")
 
 
+def _lloyd_sql(steps):
+    """Lloyd's iterations from the first three rows, written out step by step."""
+    sql, centres = "WITH" + SCALED + ", c0 AS (SELECT row_number() OVER (ORDER BY period, entity) - 1 AS i, " + ", ".join(
+        MEASURES) + " FROM z QUALIFY i < 3)", "c0"
+    near = lambda c: ("SELECT z.*, c.i FROM z, " + c + " c QUALIFY row_number() OVER (PARTITION BY entity, period ORDER BY "
+                      + " + ".join(f"(z.{m} - c.{m}) ** 2" for m in MEASURES) + ", c.i) = 1")
+    for n in range(1, steps + 1):
+        sql += f", a{n} AS ({near(centres)}), c{n} AS (SELECT o.i, " + ", ".join(
+            f"coalesce(any_value(m.{m}), any_value(o.{m})) AS {m}" for m in MEASURES) + f" FROM {centres} o LEFT JOIN (SELECT i, " + ", ".join(
+            f"avg({m}) AS {m}" for m in MEASURES) + f" FROM a{n} GROUP BY i) m ON m.i = o.i GROUP BY o.i)"
+        centres = f"c{n}"
+    return sql + f" SELECT entity, period, CAST(i AS INTEGER) AS cluster FROM ({near(centres)})"
+
+
+@query(_lloyd_sql(4))
+def kmeans_lloyd_from_seeds(spark, d):
+    """Four iterations from given seeds."""
+    z = scaled_panel(spark, d)
+    out, _ = cluster.kmeans_lloyd(z, MEASURES, ["entity", "period"], 3, max_iter=4, tol=0.0, seeds=_seeds(z))
+    return out.select("entity", "period", "cluster")
+
+
 @query()
 def kmeans(spark, d):
     out, _ = cluster.kmeans(vectors(spark, d), DIMENSIONS, 4)
@@ -123,6 +145,14 @@ def top_by_component(spark, d):
     return cluster.top_by_component(out, ["vec_id"], 3)
 
 
+@query("SELECT label AS cluster, vec_id FROM embeddings QUALIFY row_number() OVER "
+       "(PARTITION BY label ORDER BY CAST(embedding[1] AS DOUBLE) DESC, vec_id) <= 3")
+def top_by_given_component(spark, d):
+    """The same with the first coordinate as the component."""
+    out = vectors(spark, d).select("vec_id", F.col("label").alias("cluster"), F.col("e0").alias("pc1"))
+    return cluster.top_by_component(out, ["vec_id"], 3).select("cluster", "vec_id")
+
+
 REGIONS = ", r AS (SELECT n_regionkey AS cluster, panel.* FROM panel JOIN nation ON n_name = entity) "
 
 
@@ -326,6 +356,16 @@ def answer_questions(spark, d):
     return out.withColumn("value", six("value"))
 
 
+@query("WITH " + PARSED + "," + ORDER_PANEL + f""", named AS (SELECT *, {ROW_TOTAL} AS total FROM panel),
+  long AS (""" + " UNION ALL ".join(f"SELECT period, '{m}' AS measure, {m} AS value FROM named" for m in NAMES) + """),
+  w AS (SELECT DISTINCT CASE topic """ + " ".join(f"WHEN '{t}' THEN '{m}'" for t, m in MEASURE_OF.items()) + """ END AS measure
+    FROM parsed WHERE trend)
+  SELECT measure, period, CAST(sum(value) AS BIGINT) AS value FROM long JOIN w USING (measure) GROUP BY ALL""")
+def trend_series(spark, d):
+    parsed = questions.extract_question_params(asked(spark, d), TOPICS)
+    return questions.trend_series(parsed, order_panel(spark, d), "period", MEASURES, MEASURE_OF)
+
+
 # ------------------------------------------------------------ whole plans
 
 @query()
@@ -346,6 +386,40 @@ def analyse_texts(spark, d):
     return _analysis(spark, d).results
 
 
+def _entities(spark, d):
+    return cluster_entities(event_panel(spark, d), "entity", EVENT_TYPES)
+
+
 @query()
 def entity_clusters(spark, d):
-    return cluster_entities(event_panel(spark, d), "entity", EVENT_TYPES).members
+    return _entities(spark, d).members
+
+
+@query()
+def entity_curve(spark, d):
+    return _entities(spark, d).curve
+
+
+@query()
+def entity_profile(spark, d):
+    return _entities(spark, d).profile
+
+
+@query()
+def analysis_terms(spark, d):
+    """The list items of every predicted label."""
+    return _analysis(spark, d).terms
+
+
+LIMITS = ", ".join(f"quantile_cont({m}, 0.25) AS a_{m}, quantile_cont({m}, 0.75) AS b_{m}" for m in MEASURES)
+CLIPPED = ", ".join(f"ln(1 + greatest(a_{m} - 1.5 * (b_{m} - a_{m}), least(b_{m} + 1.5 * (b_{m} - a_{m}), {m}))) AS {m}"
+                    for m in MEASURES)
+
+
+@query("WITH" + ORDER_PANEL + f", lim AS (SELECT {LIMITS} FROM panel), k AS (SELECT lower(trim(entity)) AS entity, {CLIPPED} "
+       "FROM panel, lim), e AS (SELECT entity, " + ", ".join(f"avg({m}) AS {m}" for m in MEASURES) + " FROM k GROUP BY entity) "
+       "SELECT entity, " + ", ".join(f"round({m}, 6) + 0.0 AS {m}" for m in MEASURES) + f", round({ROW_TOTAL}, 6) + 0.0 AS total FROM e")
+def prepare_entities(spark, d):
+    """Keys in one spelling, clipped, log-scaled, averaged per entity."""
+    out = prepare(order_panel(spark, d), "entity", MEASURES)
+    return clean.replace_columns(out, {m: six(m) for m in [*MEASURES, "total"]})

@@ -139,6 +139,15 @@ def label_terms(spark, d):
     return text.label_terms(documents(spark, d))
 
 
+@query(r"""WITH parts AS (SELECT p_brand AS label, p_partkey AS doc_id, regexp_split_to_array(p_name, ',\s*|\s+and\s+') AS l FROM part),
+  items AS (SELECT label, doc_id, unnest(l) AS item, generate_subscripts(l, 1) AS pos FROM parts),
+  firsts AS (SELECT label, item, min((doc_id, pos)) AS f FROM items GROUP BY ALL)
+  SELECT label, string_agg(item, ' ; ' ORDER BY f) AS terms FROM firsts GROUP BY label""")
+def label_term_text(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("label"), F.col("p_name").alias("text"))
+    return text.label_term_text(parts)
+
+
 # ------------------------------------------------------------------ index
 
 @query("WITH" + INDEX + "SELECT doc_id, term, round(weight, 6) AS weight FROM post")
