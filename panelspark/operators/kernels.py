@@ -88,12 +88,12 @@ def _products(docs: pa.Table, queries: pa.Table):
                                   minlength=(hi - lo) * n_queries).reshape(hi - lo, n_queries)
 
 
-def sparse_top_k(k: int, score: str = "dot", match: bool = False):
+def sparse_top_k(k: int, score: str = "dot", match: bool = False, unlike: bool = False):
     """Kernel: the ``k`` documents most similar to each query of the block.
 
     Both sides hold ``terms`` and ``weights`` lists.  ``score`` is ``dot`` or
     ``jaccard`` (of unweighted term sets); with ``match`` only documents that
-    carry the query's ``label`` count.
+    carry the query's ``label`` count, with ``unlike`` only those that do not.
     """
     out = pa.schema([("query_id", pa.int64()), ("rep_id", pa.int64()), ("score", pa.float64())])
 
@@ -102,7 +102,7 @@ def sparse_top_k(k: int, score: str = "dot", match: bool = False):
             return out.empty_table()
         n_queries, doc_ids = queries.num_rows, np.asarray(docs.column("rep_id"))
         q_len, d_len = _flat(queries, "terms")[1], _flat(docs, "terms")[1]
-        if match:
+        if match or unlike:
             names = pc.unique(queries.column("label").combine_chunks())
             q_label = _codes(queries.column("label").combine_chunks(), names)
             d_label = _codes(docs.column("label").combine_chunks(), names)
@@ -110,8 +110,8 @@ def sparse_top_k(k: int, score: str = "dot", match: bool = False):
         for lo, hi, table in _products(docs, queries):
             if score == "jaccard":
                 table = table / np.maximum(d_len[lo:hi, None] + q_len[None, :] - table, 1)
-            if match:
-                table[d_label[lo:hi, None] != q_label[None, :]] = 0.0
+            if match or unlike:
+                table[(d_label[lo:hi, None] == q_label[None, :]) == unlike] = 0.0
             table = np.round(table, DECIMALS)
             floor = (np.partition(table, -k, axis=0)[-k] if hi - lo > k
                      else np.zeros(n_queries))

@@ -19,17 +19,17 @@ MATCH = "query_id bigint, rep_id bigint, score double"
 
 
 def best_matches(queries: DataFrame, docs: DataFrame, k: int, score: str = "dot",
-                 match: bool = False) -> DataFrame:
+                 match: bool = False, unlike: bool = False) -> DataFrame:
     """The ``k`` most similar ``docs(rep_id, terms, weights)`` of each query.
 
     Documents that share nothing with the query are left out.  With ``match``
-    both sides carry a ``label`` that must agree.
+    both sides carry a ``label`` that must agree, with ``unlike`` one that must not.
     """
-    carried = ["label"] if match else []
+    carried = ["label"] if match or unlike else []
     found = meet(docs.select("rep_id", "terms", "weights", *carried),
                  queries.select("query_id", "terms", "weights", *carried),
                  "rep_id", "query_id", F.size("terms"), F.size("terms"),
-                 sparse_top_k(k, score, match), MATCH)
+                 sparse_top_k(k, score, match, unlike), MATCH)
     return top_within(found, ["query_id"], [F.col("score").desc(), F.col("rep_id")], k)
 
 

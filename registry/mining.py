@@ -242,7 +242,8 @@ def single_link_clusters(spark, d):
 
 @query()
 def single_link_merges(spark, d):
-    return linkage.single_link_merges(index(spark, d), CUT)
+    """The whole tree; tested against Kruskal's algorithm."""
+    return linkage.single_link_tree(index(spark, d))
 
 
 @query()

@@ -36,6 +36,12 @@ def index(spark, d):
     return _FITTED[key]
 
 
+def forget():
+    """Drop what is kept between queries."""
+    _FITTED.clear()
+    _HELD_OUT.clear()
+
+
 def indexed(spark, d):
     """The index of the documents and the benchmark texts as its vectors."""
     ix = index(spark, d)

@@ -139,6 +139,29 @@ def test_single_linkage_against_kruskal(spark):
     assert merges == pytest.approx(sorted(p[2] for p in forest), abs=1e-7)
 
 
+@pytest.mark.parametrize("bare", [False, True])
+def test_whole_single_linkage_tree_against_kruskal(spark, bare):
+    """Two vocabularies without a common word; with and without documents that have no terms."""
+    rng = np.random.default_rng(6)
+    docs = [(i, "x", " ".join(rng.choice([f"{'vw'[i % 2]}{j}" for j in range(9)], size=rng.integers(1, 5)))) for i in range(30)]
+    docs += [(30, "x", ""), (31, "x", "a")] if bare else []
+    n = len(docs)
+    index = text.fit_tfidf(spark.createDataFrame(docs, "doc_id bigint, label string, text string"))
+    rep = {r.doc_id: r.rep_id for r in index.docs.collect()}
+    vec = {r.rep_id: dict(zip(r.terms, r.weights)) for r in index.vectors.collect()}
+    pairs = []
+    for a in range(n):
+        for b in range(a + 1, n):
+            x, y = vec.get(rep[a], {}), vec.get(rep[b], {})
+            dot = sum(w * y.get(t, 0) for t, w in x.items())
+            pairs.append((a, b, round(max(bool(x) + bool(y) - 2 * dot, 0) ** 0.5, 9)))
+    roots, forest = find_groups(n, sorted(pairs, key=lambda p: (p[2], p[0], p[1])))
+    got = linkage.single_link_tree(index).collect()
+    assert len(got) == n - 1 and len(set(roots)) == 1
+    assert sorted(r.distance for r in got) == pytest.approx(sorted(p[2] for p in forest), abs=1e-7)
+    assert len(set(find_groups(n, [(r.a, r.b, r.distance) for r in got])[0])) == 1
+
+
 def test_question_words(spark):
     q = spark.createDataFrame([
         (1, "Which state had the MOST kidnapping cases in 2020?"), (2, "trend of domestic violence"),
