@@ -88,9 +88,26 @@ class Lexicon:
         return np.where(output >= 0, output, GROUPS * GROUP_WORDS + shape), counts, known
 
 
+def frequent_words(vocabulary: DataFrame, most: int) -> pd.DataFrame:
+    """At most ``most`` rows ``(word, n)``: all words above a count, the commonest first.
+
+    The count is found on a histogram in steps of a 256th of a doubling, so no
+    task and not the driver has to sort the vocabulary.
+    """
+    step = F.floor(F.log2("n") * 256)
+    bins = vocabulary.groupBy(step.alias("bin")).agg(F.count("*").alias("kinds")).collect()
+    least, room = None, most
+    for r in sorted(bins, key=lambda r: -r["bin"]):
+        if r["kinds"] > room:
+            break
+        least, room = r["bin"], room - r["kinds"]
+    chosen = vocabulary.where(step >= least) if least is not None else vocabulary.limit(0)
+    return chosen.toPandas().sort_values(["n", "word"], ascending=[False, True], ignore_index=True)
+
+
 def lexicon(vocabulary: DataFrame) -> Lexicon:
     """Collect the most frequent words (at most ``FREQUENT``) and totals of the counts by form."""
-    top = vocabulary.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toPandas()
+    top = frequent_words(vocabulary, FREQUENT)
     shapes = (vocabulary.groupBy(F.col("word").bitwiseAND(F.lit(SHAPES - 1)).alias("shape"))
               .agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas())
     words, counts = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)

@@ -246,6 +246,14 @@ def test_rare_words_are_joined_and_probabilities_add_up(spark, docs, monkeypatch
     assert np.exp(gru_lm.log_outputs(w, state, ids)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_frequent_words_stay_within_their_bound(spark):
+    table = spark.createDataFrame([(i, 1 + 1000 // (i + 1)) for i in range(500)], "word bigint, n bigint")
+    got = gru_lm.frequent_words(table, 50)
+    assert 20 < len(got) <= 50 and list(got["n"]) == sorted(got["n"], reverse=True)
+    assert got["n"].min() > max(1 + 1000 // (i + 1) for i in range(500) if i not in set(got["word"]))
+    assert len(gru_lm.frequent_words(table, 500)) == 500
+
+
 def test_state_is_carried_over_windows():
     known = gru_lm.Lexicon(np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int), 0, 0, np.zeros(16), np.ones(1024), np.ones(16))
     w = {k: v + np.float32(0.01) for k, v in gru_lm.first_weights(known).items()}
