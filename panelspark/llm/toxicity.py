@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import mix, small_batches, text_or_empty, words
 from panelspark.session import materialise
 
-SAMPLE_ROWS = 20_000       # labelled rows that the classifier is fitted on, at most
+SAMPLE_ROWS = 20_000       # labelled rows that the classifier is fitted on, about, where there are more
 SAMPLE_WINDOWS = 40_000    # windows that the ordinary dictionary is trained on, at most
 DICTIONARY_BYTES = 65_536
 TOXIC_WORDS = 4_096        # words in the toxic dictionary, at most
@@ -95,7 +95,7 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Distance, Calibration]:
-    """Both dictionaries and the calibration, from at most ``sample_rows`` labelled rows that are not held out.
+    """Both dictionaries and the calibration, from about ``sample_rows`` labelled rows that are not held out.
 
     The sample is drawn by a hash of the id in the natural ratio of labels.  The
     ordinary dictionary is trained by zstandard on windows of ordinary
@@ -105,9 +105,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     of ordinary ones by ``MIN_CONTRAST`` standard errors.  All that reaches the
     driver is bounded: windows, words and features of the sample.
     """
-    ids = (labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-           .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-           .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample_rows))
+    usable = (labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
+    slots = 1 << 30
+    wanted = min(slots, int(slots * sample_rows / max(usable.count(), 1)))
+    ids = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(slots)) < wanted)
     ids = materialise(ids, "toxicity_ids")
     sample = materialise(docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")
                          .dropDuplicates(["doc_id"]), "toxicity_sample")
@@ -129,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     except zstandard.ZstdError:  # too little text for the trainer: the text itself serves
         ordinary = b"".join(parts)[-DICTIONARY_BYTES:]
     distance = Distance(ordinary, " ".join(reversed(telling)).encode() + b" " + ordinary)
-    rows = _features(sample, distance, ["toxic"]).collect()  # at most sample_rows rows of seven numbers
+    rows = _features(sample, distance, ["toxic"]).collect()  # about sample_rows rows of seven numbers
     return distance, Calibration(np.array([r["features"] for r in rows]).reshape(-1, 7), np.array([r["toxic"] for r in rows], float))
 
 
