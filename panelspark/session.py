@@ -10,6 +10,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+PARTITIONS = "panelspark.partitions"
+
+
+def _one_process(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def build_session(name: str = "panelspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and skew-join splitting switched on.
 
@@ -32,6 +40,8 @@ def build_session(name: str = "panelspark", master: str | None = None, **conf: s
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    if spark.conf.get(PARTITIONS, None) is None and _one_process(spark):
+        spark.conf.set(PARTITIONS, str(spark.sparkContext.defaultParallelism))
     ship_package(spark)
     return spark
 
@@ -61,8 +71,7 @@ def work_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
+    if not _one_process(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="panelspark-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -96,10 +105,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows over all cores where the input comes in fewer pieces than that.
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows over ``partitions`` tasks; without a number the rows stay where they are.
 
-    A table of many files is left alone: its scan is already parallel.
+    The session setting ``panelspark.partitions`` is the number where none is
+    given.  It is for tables that come in fewer pieces than there are cores;
+    ``build_session`` sets it for local sessions only.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    partitions = partitions or int(df.sparkSession.conf.get(PARTITIONS, "0"))
+    return df.repartition(partitions) if partitions else df
