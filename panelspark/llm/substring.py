@@ -136,7 +136,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
         .add("phrases", docs.sparkSession.createDataFrame([], "a array<bigint>").schema["a"].dataType)), "words")
     first = read.where(F.col("n_words") >= window).groupBy("words_key").agg(
         F.min("doc_id").alias("first_id"), F.min_by("text_key", "doc_id").alias("first_key"))
-    rows = materialise(read.drop("phrases").join(first, "words_key", "left"), "rows")
+    rows = read.drop("phrases").join(first, "words_key", "left")
     leads = (first.where(F.col("first_id").isNotNull()).join(
         read.select("words_key", F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key"), "phrases"),
         ["words_key", "first_id", "first_key"]).dropDuplicates(["words_key"]))
