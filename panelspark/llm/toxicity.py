@@ -15,7 +15,8 @@ from panelspark.llm.common import mix, small_batches, text_or_empty, words
 from panelspark.session import materialise
 
 SAMPLE_ROWS = 20_000       # labelled rows that the classifier is fitted on, about, where there are more
-SAMPLE_WINDOWS = 40_000    # windows that the ordinary dictionary is trained on, at most
+SAMPLE_WINDOWS = 40_000    # windows that an ordinary dictionary is trained on, at most
+PAIRS = 2                  # pairs of dictionaries, on different windows: what one gains by chance the other does not
 DICTIONARY_BYTES = 65_536
 TOXIC_WORDS = 4_096        # words in the toxic dictionary, at most
 MIN_DOCUMENTS, MIN_CONTRAST = 5, 5.0
@@ -34,42 +35,50 @@ def windows(text: str, width: int = WINDOW, step: int = STEP) -> list[bytes]:
 
 
 class Distance:
-    """Compressed lengths of windows under an ordinary and a toxic dictionary."""
+    """Compressed lengths of windows under pairs of an ordinary and a toxic dictionary."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.toxic = ordinary, toxic
+    def __init__(self, pairs: list[tuple[bytes, bytes]]):
+        self.pairs = pairs
         self._ready: list | None = None
 
     def __getstate__(self):
-        return {"ordinary": self.ordinary, "toxic": self.toxic, "_ready": None}
+        return {"pairs": self.pairs, "_ready": None}
 
     def _compressors(self) -> list:
         if self._ready is None:
             settings = zstandard.ZstdCompressionParameters.from_level(
                 LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
                 format=zstandard.FORMAT_ZSTD1_MAGICLESS)
-            self._ready = [zstandard.ZstdCompressor(
+            self._ready = [[zstandard.ZstdCompressor(
                 dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(d) >= 8 else None,
-                compression_params=settings) for d in (self.ordinary, self.toxic)]
+                compression_params=settings) for d in pair] for pair in self.pairs]
         return self._ready
 
+    @property
+    def width(self) -> int:
+        return 14 * len(self.pairs) + 1
+
     def features(self, text: str) -> list[float]:
-        """How many bytes the toxic dictionary saves per window: extremes, mean, shares of windows over thresholds."""
+        """How many bytes the toxic dictionary saves per window: extremes, means, shares and numbers over thresholds."""
         parts = windows(text)
         if not parts:
-            return [0.0] * 7
-        ordinary, toxic = self._compressors()
-        saved = np.sort([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in parts]).astype(float)
-        return [saved[-1], saved.mean(), saved[-3:].mean(), (saved >= 2).mean(), (saved >= 3).mean(), (saved >= 5).mean(),
-                math.log(len(saved))]
+            return [0.0] * self.width
+        out = [math.log(len(parts))]
+        for ordinary, toxic in self._compressors():
+            saved = np.sort([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in parts]).astype(float)
+            over = {k: int((saved >= k).sum()) for k in (2, 3, 4, 5, 6)}
+            out += [saved[-1], saved.mean(), saved[-3:].mean(), saved[-3:].min(), saved[len(saved) // 2], (saved <= -2).mean(),
+                    math.sqrt(np.maximum(saved - 1, 0).sum()), *[over[k] / len(saved) for k in (2, 3, 5)],
+                    *[math.log1p(over[k]) for k in (2, 3, 4, 6)]]
+        return out
 
 
 class Calibration:
     """Logistic regression of the label on standardised features, by Newton steps."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 1e-3):
+    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: float = 3e-3):
         if not len(x):
-            x, y = np.zeros((1, 7)), np.zeros(1)
+            x, y = np.zeros((1, x.shape[1])), np.zeros(1)
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = self._design(x)
         self.weights = np.zeros(z.shape[1])
@@ -95,12 +104,12 @@ def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Distance, Calibration]:
-    """Both dictionaries and the calibration, from about ``sample_rows`` labelled rows that are not held out.
+    """The dictionaries and the calibration, from about ``sample_rows`` labelled rows that are not held out.
 
     The sample is drawn by a hash of the id in the natural ratio of labels.  The
     ordinary dictionary is trained by zstandard on windows of ordinary
     documents.  As whole documents are labelled and most of a toxic one is
-    ordinary prose, the toxic dictionary is that same content with the toxic
+    ordinary prose, a toxic dictionary is that same content with the toxic
     part in front: the words whose share of toxic documents is over the share
     of ordinary ones by ``MIN_CONTRAST`` standard errors.  All that reaches the
     driver is bounded: windows, words and features of the sample.
@@ -125,14 +134,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     telling = [r["word"] for r in seen.withColumn("contrast", contrast).where(F.col("contrast") > MIN_CONTRAST)
                .orderBy(F.col("contrast").desc(), "word").limit(TOXIC_WORDS).collect()]
     parts = [bytes(r["window"]) for r in sample.where("toxic <> 1").select("text", F.xxhash64("doc_id").alias("seed"))
-             .mapInArrow(_emit_windows, "order bigint, window binary").orderBy("order", "window").limit(SAMPLE_WINDOWS).collect()]
-    try:
-        ordinary = zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
-    except zstandard.ZstdError:  # too little text for the trainer: the text itself serves
-        ordinary = b"".join(parts)[-DICTIONARY_BYTES:]
-    distance = Distance(ordinary, " ".join(reversed(telling)).encode() + b" " + ordinary)
-    rows = _features(sample, distance, ["toxic"]).collect()  # about sample_rows rows of seven numbers
-    return distance, Calibration(np.array([r["features"] for r in rows]).reshape(-1, 7), np.array([r["toxic"] for r in rows], float))
+             .mapInArrow(_emit_windows, "order bigint, window binary").orderBy("order", "window").limit(PAIRS * SAMPLE_WINDOWS).collect()]
+    front, pairs = " ".join(reversed(telling)).encode() + b" ", []
+    for i in range(PAIRS):
+        mine = parts[i::PAIRS]
+        try:
+            ordinary = zstandard.train_dictionary(DICTIONARY_BYTES, mine).as_bytes()
+        except zstandard.ZstdError:  # too little text for the trainer: the text itself serves
+            ordinary = b"".join(mine)[-DICTIONARY_BYTES:]
+        pairs.append((ordinary, front + ordinary))
+    distance = Distance(pairs)
+    rows = _features(sample, distance, ["toxic"]).collect()  # about sample_rows rows of a few numbers
+    return distance, Calibration(np.array([r["features"] for r in rows]).reshape(-1, distance.width),
+                                 np.array([r["toxic"] for r in rows], float))
 
 
 def _features(docs: DataFrame, distance: Distance, keep: list[str]) -> DataFrame:
@@ -149,7 +163,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     """``(doc_id, held_out, score, predicted)`` per row of ``docs``; ``labels`` has ``(doc_id, toxic)``.
 
     Every whole text is cut into overlapping windows of twelve words; each is
-    compressed under both dictionaries and the bytes that the toxic one saves
+    compressed under each dictionary and the bytes that the toxic ones save
     become a probability by a calibration on the sample.  Only the text counts.
 
     Null and empty texts have no windows and get the score of texts with
@@ -160,7 +174,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([distance.features(t.as_py() or "") for t in batch.column("text")]).reshape(-1, 7)
+            found = np.array([distance.features(t.as_py() or "") for t in batch.column("text")]).reshape(-1, distance.width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(calibration.score(found))], ["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("score", "double"))
