@@ -15,7 +15,7 @@ from panelspark.llm.common import mix, small_batches, text_or_empty, words
 from panelspark.session import materialise
 
 SAMPLE_ROWS = 20_000       # labelled rows that the classifier is fitted on, about, where there are more
-SAMPLE_WINDOWS = 40_000    # windows that an ordinary dictionary is trained on, at most
+SAMPLE_WINDOWS = 40_000    # windows that an ordinary dictionary is trained on, about, where there are more
 PAIRS = 2                  # pairs of dictionaries, on different windows: what one gains by chance the other does not
 DICTIONARY_BYTES = 65_536
 TOXIC_WORDS = 4_096        # words in the toxic dictionary, at most
@@ -95,12 +95,17 @@ class Calibration:
         return 1 / (1 + np.exp(-np.clip(self._design(x) @ self.weights, -30, 30)))
 
 
-def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, text in enumerate(batch.column("text")):
-            parts = windows(text.as_py() or "", 8, 8)
-            order = mix(np.arange(len(parts), dtype=np.uint64) + np.uint64(batch.column("seed")[row].as_py() & (2**63 - 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(order.view(np.int64)), pa.array(parts, pa.binary())], ["order", "window"])
+def _emit_windows(share: float):
+    """About ``share`` of all windows of eight words, picked by a hash of document and place."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in enumerate(batch.column("text")):
+                parts = windows(text.as_py() or "", 8, 8)
+                order = mix(np.arange(len(parts), dtype=np.uint64) + np.uint64(batch.column("seed")[row].as_py() & (2**63 - 1)))
+                at = np.flatnonzero((order >> np.uint64(11)).astype(float) / 2.0**53 < share)
+                yield pa.RecordBatch.from_arrays([pa.array(order[at].view(np.int64)), pa.array([parts[i] for i in at], pa.binary())],
+                                                 ["order", "window"])
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Distance, Calibration]:
@@ -133,8 +138,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     contrast = (F.col("a") / F.lit(float(max(n_toxic, 1))) - F.col("b") / F.lit(float(max(n_other, 1)))) / error
     telling = [r["word"] for r in seen.withColumn("contrast", contrast).where(F.col("contrast") > MIN_CONTRAST)
                .orderBy(F.col("contrast").desc(), "word").limit(TOXIC_WORDS).collect()]
-    parts = [bytes(r["window"]) for r in sample.where("toxic <> 1").select("text", F.xxhash64("doc_id").alias("seed"))
-             .mapInArrow(_emit_windows, "order bigint, window binary").orderBy("order", "window").limit(PAIRS * SAMPLE_WINDOWS).collect()]
+    ordinary_rows = sample.where("toxic <> 1")
+    n_windows = ordinary_rows.agg(F.sum(F.ceil(F.size(words(F.col("text"))) / 8))).first()[0] or 1
+    found = (ordinary_rows.select("text", F.xxhash64("doc_id").alias("seed"))
+             .mapInArrow(_emit_windows(PAIRS * SAMPLE_WINDOWS / n_windows), "order bigint, window binary").collect())
+    parts = [bytes(r["window"]) for r in sorted(found, key=lambda r: (r["order"], bytes(r["window"])))]
     front, pairs = " ".join(reversed(telling)).encode() + b" ", []
     for i in range(PAIRS):
         mine = parts[i::PAIRS]
