@@ -19,7 +19,7 @@ STATE, INPUT = 24, 16           # sizes of the recurrent state and of a word's v
 GROUPS, GROUP_WORDS = 32, 32    # classes of words with an output of their own, and words in each
 SHAPES = 16                     # classes of all other words, told by their form
 FREQUENT = 65_536               # words whose counts every task knows; the others are looked up by a join
-TRAIN_SHARE = 16                # the weights see one in so many training documents; counts see all
+TRAIN_SHARE = 1                 # the weights see one in so many training documents, so all of them
 ROUNDS, STREAMS, UNROLL = 3, 64, 32
 RATE = 4e-3
 TRAINER_ROWS = 1_000            # documents per trainer
@@ -222,15 +222,21 @@ def train_pass(w: dict[str, np.ndarray], stream: np.ndarray, starts: np.ndarray)
     """One pass of truncated backpropagation through time with Adam.
 
     ``stream`` is cut into ``STREAMS`` parallel stretches; states go on from one
-    window of ``UNROLL`` tokens to the next and restart where a text does.
+    window of ``UNROLL`` tokens to the next and restart where a text does.  The
+    last stretches are filled up to the length of the others by places that
+    count for nothing, so every token is learnt from.
     """
+    if not len(stream):
+        return w
     w = {k: v.copy() for k, v in w.items()}
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
     lanes = max(1, min(STREAMS, len(stream) // UNROLL))
-    length = len(stream) // lanes
-    ids = stream[:lanes * length].reshape(lanes, length).T
-    fresh = starts[:lanes * length].reshape(lanes, length).T
+    length = -(-len(stream) // lanes)
+    filled = (0, lanes * length - len(stream))
+    ids = np.pad(stream, filled).reshape(lanes, length).T
+    fresh = np.pad(starts, filled).reshape(lanes, length).T
+    real = np.pad(np.ones(len(stream), bool), filled).reshape(lanes, length).T
     state = np.zeros((lanes, STATE), np.float32)
     s, step = STATE, 0
     for begin in range(0, length, UNROLL):
@@ -250,17 +256,18 @@ def train_pass(w: dict[str, np.ndarray], stream: np.ndarray, starts: np.ndarray)
             held.append(u[:, 2 * s:])
             state = c + g[:, s:] * (h - c)
         flat, target = np.concatenate(before), x_ids.reshape(-1)
-        count = np.float32(len(target))
+        weight = real[begin:begin + UNROLL].reshape(-1, 1).astype(np.float32)
+        weight /= weight.sum()
         grad = {k: np.zeros_like(v) for k, v in w.items()}
         p = np.exp(_log_softmax(flat @ w["class"] + w["class_bias"]))
         p[np.arange(len(target)), _class_of(target)] -= 1
-        p /= count
+        p *= weight
         grad["class"], grad["class_bias"] = flat.T @ p, p.sum(axis=0)
         d_flat = p @ w["class"].T
         for k, at in _by_group(target):
             q = np.exp(_log_softmax(flat[at] @ w["word"][k] + w["word_bias"][k]))
             q[np.arange(len(at)), target[at] // GROUPS] -= 1
-            q /= count
+            q *= weight[at]
             grad["word"][k], grad["word_bias"][k] = flat[at].T @ q, q.sum(axis=0)
             d_flat[at] += q @ w["word"][k].T
         d_states = d_flat.reshape(span, lanes, s)
@@ -329,8 +336,7 @@ def train(docs: DataFrame, known: Lexicon, share: int = TRAIN_SHARE, rounds: int
                 stream = known.look_up(np.concatenate(found))[0] if found else np.zeros(0, np.int64)
                 starts = np.zeros(len(stream), bool)
                 starts[np.cumsum([0] + [len(f) for f in found[:-1]])] = bool(found)
-                if len(stream) >= 2 * UNROLL:
-                    w, seen = train_pass(w, stream, starts), seen + len(stream)
+                w, seen = train_pass(w, stream, starts), seen + len(stream)
             yield pa.RecordBatch.from_arrays([pa.array([who], pa.int32()), pa.array([float(seen)]),
                                               pa.array([_flat(w).astype(np.float32).tobytes()], pa.binary())], ["who", "seen", "weights"])
 
@@ -382,9 +388,10 @@ def score_documents(docs: DataFrame, share: int = TRAIN_SHARE, rounds: int = ROU
     class times that of the token inside its class.  The most frequent words
     have classes and outputs of their own, both given by the state; all others
     fall into classes by their form, inside which counts plus a half decide, and
-    unseen words share one half count.  The weights are trained on one in
-    ``share`` training documents, by parallel passes and averaging; output
-    biases start at the counts, so the untrained model is already a unigram one.
+    unseen words share one half count.  The weights are trained on all training
+    documents (one in ``share``, where that is given), by parallel passes and
+    averaging; output biases start at the counts, so the untrained model is
+    already a unigram one.
 
     Whole texts are scored with the state carried to their end.  Counts of words
     that are not among the most frequent come by a join, since they are too many
