@@ -13,8 +13,8 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STATISTICS = ("symbols", "capitals", "length", "calls")
 MIN_WORDS = 50
 MIN_ROWS = 40          # fewer rows share an estimate with others of their language
-SUBSET = 0.75          # the share of rows that an estimate rests on
-CONSISTENCY = 1.487    # covariance of that share of a normal in four dimensions -> of the whole
+SUBSET = 0.5           # the share of vectors that an estimate rests on
+CONSISTENCY = 2.109    # covariance of that share of a normal in four dimensions -> of the whole
 STEPS = 4
 FLOOR = 0.05           # least standard deviation of a statistic, in its transformed unit
 CUTOFF = 13.28          # squared distance; one normal row in 100 lies further out, in four dimensions
@@ -121,7 +121,7 @@ def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def _nearest(rows: DataFrame) -> DataFrame:
-    """The rows up to the distance within which ``SUBSET`` of their cell lies (counted in fine bins)."""
+    """The vectors up to the distance within which ``SUBSET`` of their cell lies (counted in fine bins)."""
     binned = rows.withColumn("bin", F.floor(F.log2(F.col("distance") + 1e-6) * DISTANCE_BINS))
     upto = Window.partitionBy("cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     limit = (binned.groupBy("cell", "bin").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(upto))
@@ -141,14 +141,16 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     scatter more, times sqrt(n / (n + 100)).  A cell is a language and source;
     cells with under 40 rows are joined per language, and such remains again
     into one.  Per cell the minimum-covariance-determinant estimate is found by
-    concentration steps from a start at the median: take the three quarters of
-    rows that are nearest, estimate anew.  A row whose squared Mahalanobis
-    distance exceeds ``cutoff`` is rejected.
+    concentration steps from a start at the median: take the half of the vectors
+    that are nearest, estimate anew.  Equal vectors of a cell count once in
+    median and estimate, so copies neither draw the estimate to themselves nor
+    make it narrow; near copies may hold less than half of a cell.  Every row is
+    judged: one whose squared Mahalanobis distance exceeds ``cutoff`` is rejected.
 
     All steps are sums and counts per cell, so a cell with most of the table is
     no single task.  Null languages and sources are values of their own, a null
     text has no words and fails; if too few rows remain for an estimate, base
-    rules alone decide.  Repeated rows count as often as they stand.
+    rules alone decide.  Repeated rows are judged alike.
     """
     stats = materialise(document_statistics(docs).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "statistics")
@@ -165,15 +167,17 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
         "lang", "source", F.when(F.col("n") >= MIN_ROWS, F.concat_ws("\u0001", F.lit("cell"), "lang", "source"))
         .when(F.col("pooled") >= MIN_ROWS, F.concat_ws("\u0001", F.lit("lang"), "lang"))
         .otherwise(F.lit("rest")).alias("cell"))
-    raw = raw.join(cells, ["lang", "source"])
-    shift = materialise(_medians(raw), "medians")
-    rows = materialise(raw.join(shift, "cell").select("doc_id", "text_key", "cell", *[
-        ((F.col(c) - F.col(f"mid_{c}")) * F.col("shrink")).alias(c) for c in STATISTICS]), "vectors")
+    raw = materialise(raw.join(cells, ["lang", "source"]).drop("lang", "source"), "raw")
+    once = materialise(raw.select("cell", *STATISTICS, "shrink").distinct(), "distinct")
+    shift = materialise(_medians(once), "medians")
+    moved = [((F.col(c) - F.col(f"mid_{c}")) * F.col("shrink")).alias(c) for c in STATISTICS]
+    rows = materialise(raw.join(shift, "cell").select("doc_id", "text_key", "cell", *moved), "vectors")
+    once = materialise(once.join(shift, "cell").select("cell", *moved), "distinct_vectors")
     # the start: distance to the median, every statistic in units of its floor
-    start = rows.withColumn("distance", sum(F.least(F.col(c) * F.col(c) / (FLOOR * FLOOR), F.lit(1e6)) for c in STATISTICS))
+    start = once.withColumn("distance", sum(F.least(F.col(c) * F.col(c) / (FLOOR * FLOOR), F.lit(1e6)) for c in STATISTICS))
     estimate = materialise(_estimates(_nearest(start), CONSISTENCY), "estimate")
     for _ in range(STEPS):
-        estimate = materialise(_estimates(_nearest(_with_distance(rows, estimate)), CONSISTENCY), "estimate")
+        estimate = materialise(_estimates(_nearest(_with_distance(once, estimate)), CONSISTENCY), "estimate")
     enough = rows.groupBy("cell").agg(F.count("*").alias("rows"))
     verdict = (_with_distance(rows, estimate).join(enough, "cell")
                .withColumn("out", (F.col("distance") > cutoff) & (F.col("rows") >= MIN_ROWS))
