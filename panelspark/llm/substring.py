@@ -1,4 +1,4 @@
-"""Removal of repeated passages by relative Lempel-Ziv parsing."""
+"""Removal of repeated passages by a join of window hashes; neighbouring hits are then put together as factors."""
 
 from __future__ import annotations
 
