@@ -122,12 +122,16 @@ def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, n
         first = last
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte ``(starts, ends)`` of all words and ``rows``: row i has words ``rows[i]:rows[i + 1]``."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray,
+                gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ``(starts, ends)`` of all words and ``rows``: row i has words ``rows[i]:rows[i + 1]``.
+
+    ``gap`` tells for each byte whether it stands between words.
+    """
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~gap[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     first = inside.copy()

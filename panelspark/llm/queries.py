@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import (fingerprint, gru_lm, jaccard_join, kd_shards, lines, mixing, packing, quality, substring,
+from panelspark.llm import (divergence, fingerprint, gru_lm, jaccard_join, kd_shards, lines, mixing, packing, quality, substring,
                             toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,38 @@ def op6_order_min_hash(spark, sf_dir):
 def op7_gru_language_model(spark, sf_dir):
     """Tested by counting and by held-out likelihood: SQL trains no network."""
     return gru_lm.score_documents(documents(spark, sf_dir))
+
+
+DIVERGENCE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(t)) AS term FROM d)
+  GROUP BY ALL HAVING count(*) >= {divergence.MIN_DOCUMENTS}),
+v AS (SELECT lang, count(*) AS terms FROM k GROUP BY lang),
+g AS (SELECT DISTINCT d.lang, source, coalesce(terms, 0) AS terms FROM d LEFT JOIN v ON d.lang = v.lang),
+n AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(t) AS term FROM d)
+  SEMI JOIN k USING (lang, term) GROUP BY ALL),
+c AS (SELECT g.lang, g.source, g.terms, k.term, coalesce(n.n, 0) AS n FROM g JOIN k ON g.lang = k.lang
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)::HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + 5 * terms) AS p FROM c),
+l AS (SELECT lang, term, sum(n) AS n, any_value(terms) AS terms FROM c GROUP BY ALL),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 5)::HUGEINT) // (sum(n) OVER (PARTITION BY lang) + 5 * terms) AS q FROM l),
+x AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a
+  JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a
+  JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+z AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST(p - q AS BIGINT) AS value FROM p
+  JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM y
+UNION ALL
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM z)
+WHERE rank <= {divergence.TOP_TERMS}
+"""
+
+
+@query(DIVERGENCE_SQL)
+def op13_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(documents(spark, sf_dir))
