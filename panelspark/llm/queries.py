@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import (divergence, fingerprint, gru_lm, jaccard_join, kd_shards, lines, mixing, packing, quality, substring,
+from panelspark.llm import (burst_trie, divergence, fingerprint, gru_lm, jaccard_join, kd_shards, lines, mixing, packing, quality, substring,
                             toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,39 @@ WHERE rank <= {divergence.TOP_TERMS}
 @query(DIVERGENCE_SQL)
 def op13_source_divergence(spark, sf_dir):
     return divergence.source_divergence(documents(spark, sf_dir))
+
+
+TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY i) AS own FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+    lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda x, o: CASE WHEN o >= 0 THEN xor(x, o) ELSE xor(x >> 1, (x & 1) * 3988292384) END), 4294967295) % 9 AS h FROM c),
+b AS (SELECT h.conv_id, list_concat(coalesce(c.own[1:h], []), h.own[h + 1:]) AS s
+  FROM h LEFT JOIN c ON c.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM b),
+m AS (SELECT conv_id, depth, depth = len(s) AS over, strlen(s[depth].text) AS size,
+    CASE WHEN depth = 0 THEN '' ELSE md5(to_json(s[1:depth])) END AS node,
+    CASE WHEN depth = 0 THEN NULL WHEN depth = 1 THEN '' ELSE md5(to_json(s[1:depth - 1])) END AS up FROM p),
+g AS (SELECT node, depth, any_value(up) AS up, min(conv_id) AS first, count(*) AS n_convs, any_value(size) AS size,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (over), '')) AS ends_sha256
+  FROM m GROUP BY node, depth),
+k AS (SELECT up AS node, count(*) AS n_children FROM g WHERE up IS NOT NULL GROUP BY up),
+v AS (SELECT g.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf,
+    (n_convs - 1) * coalesce(size, 0) AS saved FROM g LEFT JOIN k ON g.node = k.node),
+d AS (SELECT m.node, sum(coalesce(leaf, 0)) OVER below AS leaves, sum(coalesce(saved, 0)) OVER below AS saved
+  FROM m LEFT JOIN v ON v.node = m.node AND v.first = m.conv_id
+  WINDOW below AS (PARTITION BY m.conv_id ORDER BY m.depth DESC)),
+e AS (SELECT node, sum(leaves) AS n_leaves, sum(saved) AS saved_tokens FROM d GROUP BY node)
+SELECT v.first AS conv_id, v.depth, u.first AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN e ON v.node = e.node LEFT JOIN v u ON u.node = v.up
+"""
+
+
+@query(TRIE_SQL)
+def op11_burst_trie(spark, sf_dir):
+    return burst_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
