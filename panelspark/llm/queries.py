@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import (burst_trie, divergence, fingerprint, gru_lm, jaccard_join, kd_shards, lines, mixing, packing, quality, substring,
-                            toxicity)
+from panelspark.llm import (burst_trie, divergence, fingerprint, gru_lm, jaccard_join, kd_shards, lines, minhash_forest, mixing, packing,
+                            quality, substring, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -224,3 +224,25 @@ FROM v JOIN e ON v.node = e.node LEFT JOIN v u ON u.node = v.up
 @query(TRIE_SQL)
 def op11_burst_trie(spark, sf_dir):
     return burst_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+NEAR_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, shingle FROM (
+  SELECT doc_id, unnest([w[i:i + 4] FOR i IN range(1, greatest(len(w) - 3, 2))]) AS shingle FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS joint FROM s a JOIN s b ON a.shingle = b.shingle
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * joint >= {minhash_forest.PERCENT} * (x.n + y.n - joint)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""
+
+
+@query(NEAR_SQL)
+def op12_minhash_forest(spark, sf_dir):
+    return minhash_forest.near_duplicates(documents(spark, sf_dir))
