@@ -151,17 +151,17 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 
 class _Sums:
-    """Counts by key that a task holds back, at most about ``HELD_ROWS`` rows of them."""
+    """Counts by key that a task holds back, at most about ``most`` rows of them."""
 
-    def __init__(self, keys: list[str]):
-        self.keys, self.held, self.rows = keys, [], 0
+    def __init__(self, keys: list[str], most: int):
+        self.keys, self.most, self.held, self.rows = keys, most, [], 0
 
     def add(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
         self.held.append(table)
         self.rows += len(table)
-        if self.rows > HELD_ROWS:
+        if self.rows > self.most:
             self._join()
-            if self.rows > HELD_ROWS // 2:
+            if self.rows > self.most // 2:
                 yield from self.flush()
 
     def _join(self) -> None:
@@ -181,24 +181,26 @@ def _plain(column: pa.Array) -> pa.DictionaryArray:
     return column.cast(pa.string()).dictionary_encode()
 
 
-def _documents_by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = _Sums(["lang", "term"])
-    for batch in batches:
-        langs = _plain(batch.column(0))
-        lang_of = langs.indices.to_numpy()
-        for first, last, row, code, distinct in _terms(batch.column(1)):
-            kinds = max(1, len(distinct))
-            once = np.unique(row * kinds + code)
-            key, n = np.unique(lang_of[first:last][once // kinds] * kinds + once % kinds, return_counts=True)
-            yield from sums.add(pa.table({
-                "lang": langs.dictionary.take(pa.array(key // kinds)),
-                "term": distinct.take(pa.array(key % kinds)).cast(pa.large_string()).cast(pa.string()), "n": n}))
-    yield from sums.flush()
+def _documents_by_term(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(["lang", "term"], most)
+        for batch in batches:
+            langs = _plain(batch.column(0))
+            lang_of = langs.indices.to_numpy().astype(np.int64)
+            for first, last, row, code, distinct in _terms(batch.column(1)):
+                kinds = max(1, len(distinct))
+                once = np.unique(row * kinds + code)
+                key, n = np.unique(lang_of[first:last][once // kinds] * kinds + once % kinds, return_counts=True)
+                yield from sums.add(pa.table({
+                    "lang": langs.dictionary.take(pa.array(key // kinds)),
+                    "term": distinct.take(pa.array(key % kinds)).cast(pa.large_string()).cast(pa.string()), "n": n}))
+        yield from sums.flush()
+    return run
 
 
-def _recount(vocabulary):
+def _recount(vocabulary, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = Vocabulary(vocabulary.value), _Sums(["lang", "source", "ordinal"])
+        known, sums = Vocabulary(vocabulary.value), _Sums(["lang", "source", "ordinal"], most)
         for batch in batches:
             langs, sources = _plain(batch.column(0)), _plain(batch.column(1))
             n_sources = max(1, len(sources.dictionary))
@@ -226,30 +228,31 @@ def _recount(vocabulary):
 
 # ---- the vocabulary as a table ----------------------------------------------------------
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _build(most_terms: int, most_bytes: int):
     """Transducers of sorted ``(lang, term)`` rows; a new one begins with a language or when the last is full.
 
     The terms themselves follow with their places, a row each.
     """
-    lang, terms, size = None, [], 0
-
-    def done() -> pa.RecordBatch:
+    def done(lang: str, terms: list[str]) -> pa.RecordBatch:
         raw, n = Transducer.build(t.encode() for t in terms).pack(), len(terms)
         return pa.RecordBatch.from_pydict({
             "lang": [lang] * (n + 1), "first": [terms[0]] * (n + 1), "term": pa.array([None, *terms], pa.string()),
             "place": pa.array([None, *range(n)], pa.int64()), "n_terms": pa.array([n] + [None] * n, pa.int64()),
             "size": pa.array([len(raw)] + [None] * n, pa.int64()), "machine": pa.array([raw] + [None] * n, pa.binary())})
 
-    for batch in batches:
-        for own, term in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if terms and (own != lang or len(terms) >= SHARD_TERMS or size >= SHARD_BYTES):
-                yield done()
-                terms, size = [], 0
-            lang = own
-            terms.append(term)
-            size += len(term)
-    if terms:
-        yield done()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, terms, size = None, [], 0
+        for batch in batches:
+            for own, term in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if terms and (own != lang or len(terms) >= most_terms or size >= most_bytes):
+                    yield done(lang, terms)
+                    terms, size = [], 0
+                lang = own
+                terms.append(term)
+                size += len(term)
+        if terms:
+            yield done(lang, terms)
+    return run
 
 
 def vocabulary(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -260,7 +263,7 @@ def vocabulary(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     built = materialise(
         kept.select("lang", "term").repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(
-            _build, "lang string, first string, term string, place bigint, n_terms bigint, size bigint, machine binary"),
+            _build(SHARD_TERMS, SHARD_BYTES), "lang string, first string, term string, place bigint, n_terms bigint, size bigint, machine binary"),
         "transducers")
     machines = built.where(F.col("term").isNull())
     # one row per transducer, and of that the numbers only
@@ -300,12 +303,12 @@ def _div(a: Column, b: Column) -> Column:
 
 def _distances(cells: pd.DataFrame) -> pd.DataFrame:
     """Summed differences of the shares of every two sources over one block of terms."""
-    heads = cells[cells["ordinal"] < 0].sort_values("source")
+    heads = cells[cells["place"] < 0].sort_values("source")
     width = int(heads["width"].iloc[0])
     shares = np.repeat(heads["p"].to_numpy(np.int64)[:, None], width, axis=1)
-    held = cells[cells["ordinal"] >= 0]
+    held = cells[cells["place"] >= 0]
     names = pd.Index(heads["source"])
-    shares[names.get_indexer(held["source"]), held["ordinal"].to_numpy(np.int64) % BLOCK_TERMS] = held["p"].to_numpy(np.int64)
+    shares[names.get_indexer(held["source"]), held["place"].to_numpy(np.int64)] = held["p"].to_numpy(np.int64)
     side = heads["side"].to_numpy()
     out = []
     for i in range(len(heads)):
@@ -345,7 +348,7 @@ def source_divergence(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top:
     small_batches(spark)
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     kept = materialise(
-        texts.select("lang", "text").mapInArrow(_documents_by_term, "lang string, term string, n bigint")
+        texts.select("lang", "text").mapInArrow(_documents_by_term(HELD_ROWS), "lang string, term string, n bigint")
         .groupBy("lang", "term").agg(F.sum("n").alias("documents")).where(F.col("documents") >= min_documents), "kept_terms")
     machines, terms = vocabulary(kept)
     counts = spark.createDataFrame([], "lang string, source string, ordinal bigint, n bigint")
@@ -355,7 +358,7 @@ def source_divergence(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top:
         loaded = [tuple(r) for r in machines.join(F.broadcast(wanted), ["lang", "base"]).select("lang", "first", "base", "machine").collect()]
         carried = spark.sparkContext.broadcast([(lang, first, base, bytes(raw)) for lang, first, base, raw in loaded])
         some = texts.where(F.col("lang").isin(sorted({lang for lang, _ in segment})))
-        counts = counts.unionByName(some.mapInArrow(_recount(carried), counts.schema))
+        counts = counts.unionByName(some.mapInArrow(_recount(carried, HELD_ROWS), counts.schema))
     counts = materialise(counts.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")), "term_counts")
 
     kinds = machines.groupBy("lang").agg(F.sum("n_terms").alias("terms"))
@@ -401,12 +404,12 @@ def _apart(cells: DataFrame, groups: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("one", F.least("mine", "other")).withColumn("two", F.greatest("mine", "other")).withColumn(
         "side", F.when(F.col("mine") == F.col("other"), -1).otherwise(F.col("mine")))
     heads = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("terms") - 1) / BLOCK_TERMS).cast("int")))).select(
-        "lang", "source", "block", "one", "two", "side", F.lit(-1).cast("bigint").alias("ordinal"),
+        "lang", "source", "block", "one", "two", "side", F.lit(-1).alias("place"),
         _share(F.lit(0).cast("bigint"), F.col("total"), F.col("terms")).alias("p"),
         F.least(F.lit(BLOCK_TERMS), F.col("terms") - BLOCK_TERMS * F.col("block")).cast("int").alias("width"))
     held = cells.join(dealt.select("lang", "source", "one", "two", "side"), ["lang", "source"]).select(
         "lang", "source", F.floor(F.col("ordinal") / BLOCK_TERMS).cast("int").alias("block"), "one", "two", "side",
-        "ordinal", "p", F.lit(None).cast("int").alias("width"))
+        F.pmod("ordinal", F.lit(BLOCK_TERMS)).cast("int").alias("place"), "p", F.lit(None).cast("int").alias("width"))
     parts = heads.unionByName(held).groupBy("lang", "block", "one", "two").applyInPandas(
         _distances, "lang string, a string, b string, value bigint")
     return parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))

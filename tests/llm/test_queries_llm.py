@@ -25,7 +25,7 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_one_query_per_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_pipeline_agrees_with_plain(spark, docs, rows, tmp_path, monkeypatch):
