@@ -24,6 +24,7 @@ RECALL = 0.999               # of a pair at the threshold, over all trees
 DEPTH = 4                    # levels of a tree
 NODE_SETS = 512              # a node with more sets branches
 FAN = 500                    # sets that are confirmed against one other set in one task
+BLOCK_SHINGLES = 4_000_000   # shingles of the sets that a task compares as a whole, in each of its two blocks
 MASK_SLOTS = 1 << 17
 
 _U = np.uint64
@@ -152,23 +153,31 @@ def _nodes(sets: DataFrame, threshold: float, depth: int, recall: float, limit:
 
 # ---- comparing inside nodes -------------------------------------------------------------
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(keys, minima, labels, sides)`` of each task's rows, which come sorted by task."""
+def _groups(batches: Iterator[pa.RecordBatch], items: bool = False) -> Iterator[tuple]:
+    """``(task, keys, minima, labels, sides, sets)`` of each task's rows, which come sorted by task."""
     current, held = None, []
+
+    def whole() -> tuple:
+        return (current, *(np.concatenate(c) for c in zip(*held)))
+
     for batch in batches:
         tasks = batch.column("task").to_numpy()
+        sets = np.empty(len(tasks), object)
+        if items:
+            for k, raw in enumerate(batch.column("items").to_pylist()):
+                sets[k] = np.frombuffer(raw, np.uint64)
         columns = (np.array(batch.column("set_key").to_pylist(), object), _matrix(batch.column("minima")),
-                   np.array(batch.column("label").to_pylist(), object), batch.column("side").to_numpy())
+                   np.array(batch.column("label").to_pylist(), object), batch.column("side").to_numpy(), sets)
         cuts = np.concatenate([[0], np.flatnonzero(tasks[1:] != tasks[:-1]) + 1, [len(tasks)]])
         for low, high in zip(cuts[:-1], cuts[1:]):
             if low < high:
                 if tasks[low] != current and held:
-                    yield tuple(np.concatenate(c) for c in zip(*held))
+                    yield whole()
                     held = []
                 current = tasks[low]
                 held.append([c[low:high] for c in columns])
     if held:
-        yield tuple(np.concatenate(c) for c in zip(*held))
+        yield whole()
 
 
 def _pairs(a: list, b: list) -> pa.RecordBatch:
@@ -179,7 +188,7 @@ def _forest(least: float):
     """Edges that are probably links and hang each task's sets together: every set with the one that reached it first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for keys, minima, _, _ in _groups(batches):
+        for _, keys, minima, _, _, _ in _groups(batches):
             order = np.argsort(keys)
             keys, minima = keys[order], minima[order]
             waiting = np.arange(len(keys))
@@ -199,27 +208,59 @@ def _forest(least: float):
     return run
 
 
-def _rest(least: float):
-    """All pairs that may be links between sets that hang together with different others."""
+def _partners(i: int, minima: np.ndarray, labels: np.ndarray, sides: np.ndarray, least: float) -> np.ndarray:
+    """The rows after i that may be linked with it and hang together with others than it does."""
+    others = np.flatnonzero((labels[i + 1:] != labels[i]) & ((sides[i + 1:] != sides[i]) | (sides[i] < 0))) + i + 1
+    return others[(minima[others] == minima[i]).mean(axis=1) >= least] if len(others) else others
+
+
+def _undecided(least: float):
+    """The rows of each task that have a partner."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for keys, minima, labels, sides in _groups(batches):
+        for task, keys, minima, labels, sides, _ in _groups(batches):
+            found = np.zeros(len(keys), bool)
             for i in range(len(keys) - 1):
-                other = np.flatnonzero((labels[i + 1:] != labels[i]) & ((sides[i + 1:] != sides[i]) | (sides[i] < 0))) + i + 1
-                near = other[(minima[other] == minima[i]).mean(axis=1) >= least] if len(other) else other
-                a += [min(keys[i], keys[j]) for j in near]
-                b += [max(keys[i], keys[j]) for j in near]
-            if len(a) > 10_000:
-                yield _pairs(a, b)
-                a, b = [], []
-        yield _pairs(a, b)
+                near = _partners(i, minima, labels, sides, least)
+                found[near] = True
+                found[i] |= len(near) > 0
+            if found.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(int(found.sum()), task)), pa.array(keys[found], pa.string()),
+                     pa.array(labels[found], pa.string()), pa.array(sides[found])], ["task", "set_key", "label", "side"])
+    return run
+
+
+def _joint(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two ascending arrays share."""
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    joint = _joint(a, b)
+    return 100 * joint >= percent * (len(a) + len(b) - joint)
+
+
+def _decide(least: float, percent: int):
+    """Links between sets of unlike labels, found by comparing whole sets; what they join counts as one label at once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, minima, labels, sides, sets in _groups(batches, items=True):
+            a, b = [], []
+            for i in range(len(keys) - 1):
+                for j in _partners(i, minima, labels, sides, least):
+                    if labels[j] != labels[i] and _linked(sets[i], sets[j], percent):
+                        a.append(keys[i])
+                        b.append(keys[j])
+                        labels[labels == labels[j]] = labels[i]
+            yield _pairs(a, b)
     return run
 
 
-def _run(tasks: DataFrame, minima: DataFrame, step) -> DataFrame:
-    """Pairs found in ``(task, set_key, label, side)`` by ``step``."""
-    rows = tasks.join(minima, "set_key").select("task", "set_key", "minima", "label", "side")
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(step, "a string, b string").distinct()
+def _with_minima(tasks: DataFrame, minima: DataFrame) -> DataFrame:
+    return tasks.join(minima, "set_key").select("task", "set_key", "minima", "label", "side")
+
+
+def _by_task(rows: DataFrame) -> DataFrame:
+    return rows.repartition("task").sortWithinPartitions("task")
 
 
 def _first_tasks(leaves: DataFrame, limit: int) -> DataFrame:
@@ -238,22 +279,27 @@ def _first_tasks(leaves: DataFrame, limit: int) -> DataFrame:
 
 
 def _second_tasks(leaves: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """Nodes with more than one label as tasks; in larger ones only blocks that can hold two labels meet.
+    """Nodes with more than one of the ``labels(set_key, label, n_shingles)`` as tasks.
 
-    The sets of a large node's commonest label are dealt into blocks that do not
-    meet each other; each meets the blocks of all other sets, and these meet among themselves.
+    In larger ones only blocks that can hold two labels meet: the sets of the
+    commonest label are dealt into blocks that do not meet each other; each
+    meets the blocks of all other sets, and these meet among themselves.
     """
-    named = leaves.join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-    kinds = named.groupBy("node", "label").agg(F.count("*").alias("held"))
+    named = leaves.select("node", "set_key").join(labels, "set_key")
+    kinds = named.groupBy("node", "label").agg(F.count("*").alias("held"), F.sum("n_shingles").alias("size"))
     most = materialise(kinds.groupBy("node").agg(
-        F.max(F.struct("held", "label")).alias("top"), F.sum("held").alias("n_sets")).where(
-        F.col("top.held") < F.col("n_sets")).select("node", F.col("top.label").alias("main"), F.col("top.held").alias("held"),
-                                                     F.col("n_sets").alias("rows")), "node_labels")
+        F.max(F.struct("held", "label", "size")).alias("top"), F.sum("held").alias("rows"), F.sum("size").alias("size")).where(
+        F.col("top.held") < F.col("rows")).select("node", F.col("top").alias("top"), "rows", "size"), "node_labels")
+
+    def blocks(rows: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(rows / limit), F.ceil(size / BLOCK_SHINGLES)).cast("int")
+
     open_ = materialise(lookup(named, most, "node", "set_key", "rows"), "open_nodes")
-    small = open_.where(F.col("rows") <= limit).select(F.xxhash64("node").alias("task"), "set_key", "label", F.lit(-1).alias("side"))
-    large = open_.where(F.col("rows") > limit).withColumn("mains", F.ceil(F.col("held") / limit).cast("int")).withColumn(
-        "others", F.ceil((F.col("rows") - F.col("held")) / limit).cast("int"))
-    is_main, spread = F.col("label") == F.col("main"), F.xxhash64("set_key", F.lit(6))
+    few = blocks(F.col("rows"), F.col("size")) == 1
+    small = open_.where(few).select(F.xxhash64("node").alias("task"), "set_key", "label", F.lit(-1).alias("side"))
+    large = open_.where(~few).withColumn("mains", blocks(F.col("top.held"), F.col("top.size"))).withColumn(
+        "others", blocks(F.col("rows") - F.col("top.held"), F.col("size") - F.col("top.size")))
+    is_main, spread = F.col("label") == F.col("top.label"), F.xxhash64("set_key", F.lit(6))
     mine = F.when(is_main, F.pmod(spread, F.col("mains"))).otherwise(F.col("mains") + F.pmod(spread, F.col("others"))).cast("int")
     last = F.col("mains") + F.col("others") - 1
     dealt = large.withColumn("mine", mine).withColumn("with", F.explode(F.when(
@@ -299,8 +345,7 @@ def _confirm(percent: int):
                     continue
                 if group != r["task"]:
                     raise ValueError("a set to compare with is missing")
-                joint = int((items[np.minimum(np.searchsorted(items, own), len(items) - 1)] == own).sum())
-                if 100 * joint >= percent * (len(items) + len(own) - joint):
+                if _linked(items, own, percent):
                     a.append(mine)
                     b.append(r["b"])
             yield _pairs(a, b)
@@ -338,10 +383,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
 
     Equal sets are one set.  Each of a number of independent trees branches the
     sets by drawn min-wise values until nodes are small; inside a node all sets
-    are compared by their min-wise values.  Confirmation on full sets comes in
-    two steps, so that a group of near copies costs one confirmation per
-    member: first a spanning forest of each node, then every remaining pair that
-    may be a link and is not yet connected.  No pair is listed inside what is connected already.
+    are compared by their min-wise values.  Full sets then decide in two steps,
+    so that a group of near copies costs one comparison per member: first the
+    edges of a spanning forest of each node, then, inside the nodes, every
+    pair that may be a link and is not connected yet.  Pairs are never sent on, only links.
 
     The number of trees gives a pair at the threshold the chance ``recall`` to
     meet; with the estimate's slack, it is missed with a chance below 0.5 %.
@@ -359,23 +404,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH,
         .add("n_shingles", "long").add("minima", "binary")), "described")
     sets = materialise(signed.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(
         F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text_key")).alias("carrier"),
-        F.first("minima").alias("minima")), "sets")
+        F.first("n_shingles").alias("n_shingles"), F.first("minima").alias("minima")), "sets")
     leaves, minima = _nodes(sets, threshold, depth, recall, limit)
-    forest = materialise(_run(_first_tasks(leaves, limit), minima, _forest(threshold - SLACK / 4)), "forest")
     carriers = minima.select("set_key").join(sets.select("set_key", "carrier"), "set_key").select(
         "set_key", F.col("carrier.doc_id").alias("id"), F.col("carrier.text_key").alias("key"))
-
-    def wanted(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
-        return carriers.join(asked, "set_key")
-
-    have = materialise(full_sets(docs, materialise(wanted(forest), "wanted"), width), "full_sets")
+    forest = materialise(_by_task(_with_minima(_first_tasks(leaves, limit), minima)).mapInArrow(
+        _forest(threshold - SLACK / 4), "a string, b string").distinct(), "forest")
+    asked = forest.select(F.col("a").alias("set_key")).union(forest.select("b")).distinct()
+    have = materialise(full_sets(docs, materialise(carriers.join(asked, "set_key"), "wanted"), width), "full_sets")
     links = confirmed(forest, have, percent)
-    labels = _labels(links)
-    rest = materialise(_run(_second_tasks(leaves, labels, limit), minima, _rest(least)), "rest")
-    more = materialise(wanted(rest).join(have.select("set_key"), "set_key", "left_anti"), "wanted")
-    have = have.unionByName(materialise(full_sets(docs, more, width), "full_sets"))
-    labels = _labels(links.unionByName(confirmed(rest, have, percent)))
+    known = minima.select("set_key").join(sets.select("set_key", "n_shingles"), "set_key").join(_labels(links), "set_key", "left")
+    labels = known.select("set_key", F.coalesce("label", "set_key").alias("label"), "n_shingles")
+    rest = materialise(_by_task(_with_minima(_second_tasks(leaves, labels, limit), minima)).mapInArrow(
+        _undecided(least), "task bigint, set_key string, label string, side int"), "undecided")
+    asked = rest.select("set_key").distinct().join(have.select("set_key"), "set_key", "left_anti")
+    have = have.unionByName(materialise(full_sets(docs, materialise(carriers.join(asked, "set_key"), "wanted"), width), "full_sets"))
+    more = _by_task(_with_minima(rest, minima).join(have, "set_key")).mapInArrow(_decide(least, percent), "a string, b string")
+    labels = _labels(links.unionByName(materialise(more, "links")))
     named = sets.select("set_key", "first").join(labels, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     least_id = named.groupBy("label").agg(F.min("first").alias("component_id"))
     named = materialise(named.join(least_id, "label").select("set_key", "component_id"), "named")
