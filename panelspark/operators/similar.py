@@ -12,10 +12,13 @@ from panelspark.operators.blocks import meet
 from panelspark.operators.joins import salted_join
 from panelspark.operators.kernels import dense_top_k, sparse_top_k
 from panelspark.operators.panel import top_within
+from panelspark.operators.search import greatest_length, max_score, plan_search, read_lists
 from panelspark.operators.text import TextIndex, postings
 from panelspark.session import materialise, spread
 
 MATCH = "query_id bigint, rep_id bigint, score double"
+# a search may add up so many rows for each posting of the documents; blocks move every posting at least once
+SEARCH_ROWS = 2
 
 
 def best_matches(queries: DataFrame, docs: DataFrame, k: int, score: str = "dot",
@@ -24,7 +27,26 @@ def best_matches(queries: DataFrame, docs: DataFrame, k: int, score: str = "dot"
 
     Documents that share nothing with the query are left out.  With ``match``
     both sides carry a ``label`` that must agree, with ``unlike`` one that must not.
+
+    A list of queries is answered by ``max_score`` over the postings of its terms.
+    Where these lists, each counted once per query that holds the term, come to
+    more than ``SEARCH_ROWS`` times the documents' postings (a table against
+    itself), and for other scores than the dot product, blocks of both sides
+    meet.  Both ways give the same rows.
     """
+    if score == "dot" and not unlike:
+        lists = read_lists(queries, docs)
+        plan = plan_search(queries, lists, k, greatest_length(docs))
+        rows, = plan.agg(F.coalesce(F.sum("df"), F.lit(0))).first()
+        held, = docs.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+        if rows <= SEARCH_ROWS * held:
+            return max_score(queries, docs, k, match, lists, plan)
+    return block_matches(queries, docs, k, score, match, unlike)
+
+
+def block_matches(queries: DataFrame, docs: DataFrame, k: int, score: str = "dot",
+                  match: bool = False, unlike: bool = False) -> DataFrame:
+    """``best_matches`` by blocks of both sides, all of which meet."""
     carried = ["label"] if match or unlike else []
     found = meet(docs.select("rep_id", "terms", "weights", *carried),
                  queries.select("query_id", "terms", "weights", *carried),

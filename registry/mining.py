@@ -240,10 +240,29 @@ def single_link_clusters(spark, d):
     return linkage.single_link_clusters(index(spark, d), CUT)
 
 
-@query()
+# Prim's algorithm: ``open`` holds for every vector outside the tree its shortest way in, ``best`` the one taken
+TREE = "WITH RECURSIVE " + INDEX + """, bags AS (SELECT doc_id, len(toks) = 0 AS bare, min(doc_id) OVER (PARTITION BY list_sort(toks)) AS rep FROM tok),
+  reps AS (SELECT rep AS id, row_number() OVER (ORDER BY rep) AS i, any_value(bare) AS bare FROM bags GROUP BY rep),
+  dots AS (SELECT x.doc_id AS a, y.doc_id AS b, round(sum(x.weight * y.weight), 9) AS dot FROM post x JOIN post y ON x.term = y.term
+    SEMI JOIN reps r ON r.id = x.doc_id SEMI JOIN reps q ON q.id = y.doc_id GROUP BY ALL),
+  far AS (SELECT x.i, list(CASE WHEN x.bare OR y.bare THEN 1.0::DOUBLE ELSE round(sqrt(greatest(2 - 2 * coalesce(dot, 0), 0)), 9) END ORDER BY y.i) AS d
+    FROM reps x CROSS JOIN reps y LEFT JOIN dots ON dots.a = x.id AND dots.b = y.id GROUP BY x.i),
+  prim AS (
+    SELECT 0 AS step, CAST(NULL AS STRUCT(d DOUBLE, a BIGINT, b BIGINT, i BIGINT)) AS best, list_transform(d, lambda x, i: CASE WHEN i = 1 THEN NULL
+      ELSE struct_pack(d := x, a := 1::BIGINT, b := i::BIGINT, i := i::BIGINT) END) AS open FROM far WHERE far.i = 1
+    UNION ALL
+    SELECT step + 1, next, list_transform(list_zip(open, far.d), lambda z, i: CASE WHEN z[1] IS NULL OR i = next.i THEN NULL
+      WHEN z[2] < z[1].d OR (z[2] = z[1].d AND (least(i, next.i) < z[1].a OR (least(i, next.i) = z[1].a AND greatest(i, next.i) < z[1].b)))
+      THEN struct_pack(d := z[2], a := least(i, next.i)::BIGINT, b := greatest(i, next.i)::BIGINT, i := i::BIGINT) ELSE z[1] END)
+    FROM (SELECT step, open, list_min(open) AS next FROM prim) JOIN far ON far.i = next.i)
+  SELECT x.id AS a, y.id AS b, round(best.d, 6) AS distance FROM prim JOIN reps x ON x.i = best.a JOIN reps y ON y.i = best.b
+  UNION ALL SELECT rep, doc_id, 0.0 FROM bags WHERE rep <> doc_id"""
+
+
+@query(TREE)
 def single_link_merges(spark, d):
-    """The whole tree; tested against Kruskal's algorithm."""
-    return linkage.single_link_tree(index(spark, d))
+    """The whole tree."""
+    return linkage.single_link_tree(index(spark, d)).withColumn("distance", six("distance"))
 
 
 @query()

@@ -139,8 +139,8 @@ def test_single_linkage_against_kruskal(spark):
     assert merges == pytest.approx(sorted(p[2] for p in forest), abs=1e-7)
 
 
-@pytest.mark.parametrize("bare", [False, True])
-def test_whole_single_linkage_tree_against_kruskal(spark, bare):
+@pytest.mark.parametrize("bare,listed", [(False, 1), (True, 2), (True, 10)])
+def test_whole_single_linkage_tree_against_kruskal(spark, bare, listed):
     """Two vocabularies without a common word; with and without documents that have no terms."""
     rng = np.random.default_rng(6)
     docs = [(i, "x", " ".join(rng.choice([f"{'vw'[i % 2]}{j}" for j in range(9)], size=rng.integers(1, 5)))) for i in range(30)]
@@ -156,7 +156,7 @@ def test_whole_single_linkage_tree_against_kruskal(spark, bare):
             dot = sum(w * y.get(t, 0) for t, w in x.items())
             pairs.append((a, b, round(max(bool(x) + bool(y) - 2 * dot, 0) ** 0.5, 9)))
     roots, forest = find_groups(n, sorted(pairs, key=lambda p: (p[2], p[0], p[1])))
-    got = linkage.single_link_tree(index).collect()
+    got = linkage.single_link_tree(index, listed).collect()
     assert len(got) == n - 1 and len(set(roots)) == 1
     assert sorted(r.distance for r in got) == pytest.approx(sorted(p[2] for p in forest), abs=1e-7)
     assert len(set(find_groups(n, [(r.a, r.b, r.distance) for r in got])[0])) == 1

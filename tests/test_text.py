@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import columns as C
-from panelspark.operators import metrics, similar, spell, text
+from panelspark.operators import metrics, search, similar, spell, text
 from panelspark.operators.blocks import meet
 from panelspark.operators.kernels import sparse_top_k
 from panelspark.plans.text import analyse_texts, classify_texts
@@ -91,6 +91,51 @@ def test_neighbours_and_votes(spark, index):
     assert curve[1] == pytest.approx(1 / 5)
 
 
+def sparse_table(spark, rng, n, key, terms, unit=True):
+    rows = []
+    for i in range(n):
+        # low numbers are common terms, high ones rare
+        t = sorted({str(int(x)) for x in rng.geometric(6 / terms, size=rng.integers(1, 25)) % terms})
+        w = rng.random(len(t)) + 0.01
+        rows.append((i, t, (w / np.sqrt((w * w).sum()) if unit else w).tolist(), "xyz"[i % 3]))
+    return spark.createDataFrame(rows, f"{key} bigint, terms array<string>, weights array<double>, label string")
+
+
+@pytest.mark.parametrize("unit,match", [(True, False), (False, True)])
+def test_max_score_agrees_with_blocks(spark, monkeypatch, unit, match):
+    monkeypatch.setattr(search, "FIRST_POSTINGS", 3)
+    rng = np.random.default_rng(7)
+    docs, asked = sparse_table(spark, rng, 400, "rep_id", 80, unit), sparse_table(spark, rng, 25, "query_id", 100, unit)
+    for k in (1, 500):
+        got, want = (sorted((r.query_id, r.place, r.rep_id, round(r.score, 8)) for r in f(asked, docs, k, match=match).collect())
+                     for f in (search.max_score, similar.block_matches))
+        assert got == want
+
+
+def test_max_score_leaves_common_lists_unread(spark, monkeypatch):
+    """One rare term that decides: the list of the common term adds nothing to documents without the rare one."""
+    monkeypatch.setattr(search, "FIRST_POSTINGS", 1)
+    docs = spark.createDataFrame([(i, ["common", f"own{i}"], [0.1, 0.995]) for i in range(500)] +
+                                 [(500 + i, ["common", "rare"], [0.1, 0.995]) for i in range(3)],
+                                 "rep_id bigint, terms array<string>, weights array<double>")
+    asked = spark.createDataFrame([(1, ["common", "rare"], [0.1, 0.995])], "query_id bigint, terms array<string>, weights array<double>")
+    sizes, real = {}, search.materialise
+    monkeypatch.setattr(search, "materialise", lambda df, name: sizes.setdefault(name, real(df, name)))
+    best = search.max_score(asked, docs, 2)
+    assert [(r.rep_id, round(r.score, 6)) for r in best.orderBy("place").collect()] == [(500, 1.000025), (501, 1.000025)]
+    unread = sizes["search_split"].where("not read").select("term").collect()
+    assert [r.term for r in unread] == ["common"] and sizes["sums"].count() == 3
+
+
+def test_a_query_list_is_searched_without_blocks(spark, monkeypatch, index):
+    monkeypatch.setattr(similar, "meet", None)
+    monkeypatch.setattr(similar, "SEARCH_ROWS", 100)
+    asked = text.transform_tfidf(spark.createDataFrame([(10, "cough fever"), (12, "nausea")], "query_id bigint, text string"), index)
+    out = similar.knn_text(asked, index, 2)
+    assert "FlatMapCoGroups" not in out._jdf.queryExecution().toString()
+    assert {r.query_id: r.label for r in out.collect()} == {10: "cold", 12: "heart"}
+
+
 def test_blocks_agree_with_dense_products(spark):
     rng = np.random.default_rng(3)
     def side(n, key):
