@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import as_column
 from panelspark.functions.fixed_values import NO_DOMINANT_MEASURE
+from panelspark.operators import kmeans as many
 from panelspark.operators.blocks import meet
 from panelspark.operators.kernels import distance_sums
 from panelspark.operators.ordering import position
@@ -21,6 +21,8 @@ from panelspark.operators.panel import top_within
 Centres = list[list[float]]
 # iterations of a k-means fit, in sweeps as in the final clustering
 ITERATIONS = 300
+# of a power iteration that has not settled before
+POWER_STEPS = 5000
 
 
 def squared_distance(cols: Sequence[str], centre: Sequence[float]) -> Column:
@@ -80,16 +82,16 @@ def kmeans_lloyd(df: DataFrame, cols: Sequence[str], keys: Sequence[str], k: int
     return nearest_centroid(df, cols, centres), centres
 
 
-def _assembled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol="_x").transform(df)
+def kmeans(df: DataFrame, key: str, cols: Sequence[str], k: int, seed: int = 42,
+           max_iter: int = ITERATIONS, tol: float = 1e-4) -> tuple[DataFrame, Centres]:
+    """k-means from a k-means++ start drawn by hashes of ``key``; keys travel with their rows.
 
-
-def kmeans(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42,
-           max_iter: int = ITERATIONS) -> tuple[DataFrame, Centres]:
-    """k-means with a distributed k-means++ start; keys travel with their rows."""
-    points = _assembled(df, cols)
-    model = KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed, maxIter=max_iter).fit(points)
-    return model.transform(points).drop("_x"), [list(map(float, c)) for c in model.clusterCenters()]
+    Where there are fewer than ``k`` different rows there are that many clusters.
+    """
+    points = many.written(df, cols)
+    start = many.draw_seeds(points, key, k, seed)
+    centres = many.lloyd_many(points, {k: start}, max_iter, tol)[k]
+    return many.label(points, centres).drop(many.VECTOR), centres
 
 
 def silhouette(df: DataFrame, key: str, cols: Sequence[str], cluster: str = "cluster") -> DataFrame:
@@ -118,40 +120,27 @@ def silhouette(df: DataFrame, key: str, cols: Sequence[str], cluster: str = "clu
     return per_point.agg(F.avg(value).alias("silhouette"))
 
 
-def fast_silhouette(df: DataFrame, cols: Sequence[str], cluster: str = "cluster") -> float:
-    """Silhouette with squared distances: one pass, but another number."""
-    return ClusteringEvaluator(featuresCol="_x", predictionCol=cluster).evaluate(_assembled(df, cols))
-
-
 def sweep_k(df: DataFrame, key: str, cols: Sequence[str], ks: Sequence[int] = range(2, 11),
-            exact: bool = True, seed: int = 42) -> DataFrame:
+            exact: bool = False, seed: int = 42, max_iter: int = ITERATIONS, tol: float = 1e-4) -> DataFrame:
     """``(k, inertia, silhouette, reason)`` for each k.
 
-    Every k is fitted as the final clustering is.  With ``exact=False`` the
-    silhouette is the one-pass figure on squared distances.  One cluster has
-    silhouette 0.  A k that is not below the number of rows has no figures, and
-    the reason says so.
+    Every k is fitted as ``kmeans`` fits it; one scan per iteration serves all k.
+    The silhouette is the figure on squared distances, which needs no two rows
+    to meet; ``exact`` asks for all Euclidean distances.  One cluster has
+    silhouette 0.  A k that is not below the number of rows, or above the number
+    of different ones, has no figures, and the reason says so.
     """
     spark = df.sparkSession
-    points = _assembled(df, cols).persist()
-    rows = points.count()
-    curve = []
-    for k in ks:
-        if k >= rows:
-            curve.append((k, None, None, f"only {rows} rows"))
-            continue
-        if k == 1:
-            around_mean = sum((F.var_pop(as_column(c)) for c in cols), F.lit(0.0)) * rows
-            curve.append((1, float(points.agg(around_mean).first()[0]), 0.0, None))
-            continue
-        model = KMeans(featuresCol="_x", predictionCol="cluster", k=k, seed=seed, maxIter=ITERATIONS).fit(points)
-        labelled = model.transform(points)
-        if exact:
-            score = silhouette(labelled, key, cols).first()[0]
-        else:
-            score = ClusteringEvaluator(featuresCol="_x", predictionCol="cluster").evaluate(labelled)
-        curve.append((k, float(model.summary.trainingCost), float(score), None))
-    points.unpersist()
+    points = many.written(df, cols)
+    rows, wanted = points.count(), sorted(set(ks))
+    seeds = many.draw_seeds(points, key, max([k for k in wanted if k < rows], default=0), seed)
+    reasons = {k: f"only {rows} rows" if k >= rows else f"only {len(seeds)} different rows" for k in wanted if k >= rows or k > len(seeds)}
+    centres = many.lloyd_many(points, {k: seeds[:k] for k in wanted if k not in reasons}, max_iter, tol)
+    figures = many.curve_figures(points, centres) if centres else {}
+    if exact:
+        figures = {k: (inertia, silhouette(many.label(points, centres[k]), key, cols).first()[0] if k > 1 else 0.0)
+                   for k, (inertia, _) in figures.items()}
+    curve = [(k, *figures.get(k, (None, None)), reasons.get(k)) for k in wanted]
     return spark.createDataFrame(curve, "k int, inertia double, silhouette double, reason string")
 
 
@@ -175,23 +164,70 @@ def choose_k(curve: DataFrame, fallback: int = 5) -> DataFrame:
                        F.coalesce(bend, F.lit(fallback)).alias("k"))
 
 
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the products of every two columns over a task's rows; the last column is 1 in every row."""
+    total = None
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns] + [np.ones(batch.num_rows)])
+        total = x.T @ x if total is None else total + x.T @ x
+    if total is not None:
+        i, j = np.indices(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], ["i", "j", "s"])
+
+
+def covariance(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Population covariances, in one scan; the driver gets a number per pair of columns."""
+    numbers = df.select(*[as_column(c).cast("double") for c in cols]).dropna()
+    sums = numbers.mapInArrow(_products, "i bigint, j bigint, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    total = np.zeros((len(cols) + 1, len(cols) + 1))
+    for r in sums:
+        total[r["i"], r["j"]] = r["s"]
+    n = max(total[-1, -1], 1.0)
+    return total[:-1, :-1] / n - np.outer(total[:-1, -1], total[:-1, -1]) / (n * n)
+
+
+def principal_axes(cov: np.ndarray, count: int = 2, steps: int = POWER_STEPS, tol: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """The first eigenvectors and eigenvalues of a covariance matrix by power iteration.
+
+    Each is taken out of the matrix before the next is sought.  The sign is
+    fixed so that the largest loading of each component is positive.
+    """
+    rest, axes, values = cov.copy(), [], []
+    for _ in range(count):
+        v = 1.0 / np.arange(1, len(cov) + 1)
+        v /= math.sqrt(v @ v)
+        for _ in range(steps):
+            w = rest @ v
+            size = math.sqrt(w @ w)
+            if size == 0:
+                break
+            w /= size
+            moved = abs(w - v).max()
+            v = w
+            if moved <= tol:
+                break
+        value = v @ rest @ v
+        axes.append(v * (1.0 if v[abs(v).argmax()] >= 0 else -1.0))
+        values.append(value)
+        rest = rest - value * np.outer(v, v)
+    return np.array(axes), np.array(values)
+
+
 def pca2(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """First two principal components ``pc1, pc2`` of standardised columns.
 
-    The sign is fixed so that the largest loading of each component is positive.
+    The covariances are one aggregation; rows are projected where they are.
     """
-    points = _assembled(df, cols)
-    model = PCA(k=2, inputCol="_x", outputCol="_pc").fit(points)
-    loadings = model.pc.toArray()
-    signs = [1.0 if col[abs(col).argmax()] >= 0 else -1.0 for col in loadings.T]
-    pc = vector_to_array("_pc")
-    return (model.transform(points).withColumn("pc1", pc[0] * signs[0])
-            .withColumn("pc2", pc[1] * signs[1]).drop("_x", "_pc"))
+    axes, _ = principal_axes(covariance(df, cols))
+    project = lambda axis: sum((as_column(c) * F.lit(float(x)) for c, x in zip(cols, axis)), F.lit(0.0))
+    return df.withColumn("pc1", project(axes[0])).withColumn("pc2", project(axes[1]))
 
 
 def explained_variance(df: DataFrame, cols: Sequence[str]) -> list[float]:
-    model = PCA(k=2, inputCol="_x", outputCol="_pc").fit(_assembled(df, cols))
-    return [float(v) for v in model.explainedVariance]
+    """Shares of the whole variance that the two components hold."""
+    cov = covariance(df, cols)
+    whole = float(np.trace(cov))
+    return [float(v) / whole if whole else 0.0 for v in principal_axes(cov)[1]]
 
 
 def top_by_component(df: DataFrame, keys: Sequence[str], n: int = 3) -> DataFrame:

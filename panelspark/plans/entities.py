@@ -43,7 +43,7 @@ def entity_clusters(df: DataFrame, entity: str, measures: Sequence[str],
     points = materialise(clean.standardise(means, measures), "points")
     curve = cluster.sweep_k(points, "row", measures, ks, exact, seed)
     best = curve.agg(F.max_by("k", F.struct(F.col("silhouette"), -F.col("k")))).first()[0]
-    labelled, _ = cluster.kmeans(points, measures, best, seed)
+    labelled, _ = cluster.kmeans(points, "row", measures, best, seed)
     labelled = materialise(labelled, "labelled")
     members = cluster.cluster_members(labelled, entity)
     return EntityClusters(curve, members, cluster.cluster_profile(labelled, measures))

@@ -79,9 +79,37 @@ def kmeans_lloyd_from_seeds(spark, d):
     return out.select("entity", "period", "cluster")
 
 
-@query()
+def _kmeans_sql(start, ks, steps, out):
+    """k-means for several k from ``pts(id, x)``: hashed draws one by one, then the iterations written out."""
+    most = max(ks)
+    near = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) ** 2))".format
+    u = "((CAST('0x' || substr(md5('42:' || {0} || ':' || id), 1, 8) AS BIGINT) + 0.5) / 4294967296.0)".format
+    sql = start + f""", seeds AS (
+    SELECT 1 AS step, [arg_min(x, struct_pack(r := -ln({u("'0'")}), id := id))] AS chosen FROM pts
+    UNION ALL SELECT step + 1, list_append(any_value(chosen), arg_min(x, struct_pack(r := -ln({u("step")}) / w, id := id))) FROM (
+      SELECT step, chosen, id, x, list_min(list_transform(chosen, lambda c: {near("x", "c")})) AS w FROM seeds, pts WHERE step < {most})
+    WHERE w > 0 GROUP BY step),
+  c0 AS MATERIALIZED (SELECT k, i, chosen[i] AS c FROM (SELECT arg_max(chosen, step) AS chosen FROM seeds),
+    (SELECT unnest({list(ks)}) AS k), generate_series(1, {most}) AS g(i) WHERE i <= k)"""
+    own = lambda n: f"SELECT p.id, any_value(p.x) AS x, k, arg_min(i, struct_pack(d := {near('p.x', 'c')}, i := i)) AS i, min({near('p.x', 'c')}) AS square FROM pts p, c{n} GROUP BY p.id, k"
+    for n in range(steps):
+        sql += f""", a{n} AS MATERIALIZED ({own(n)}), c{n + 1} AS MATERIALIZED (SELECT o.k, o.i, coalesce(m.c, o.c) AS c FROM c{n} o LEFT JOIN (
+    SELECT k, i, list(v ORDER BY j) AS c FROM (SELECT k, i, j, avg(x[j]) AS v FROM a{n}, generate_series(1, (SELECT max(len(x)) FROM pts)) AS g(j)
+      GROUP BY ALL) GROUP BY k, i) m ON m.k = o.k AND m.i = o.i)"""
+    return sql + f""", own AS MATERIALIZED ({own(steps)}),
+  size AS (SELECT k, i, count(*) AS n FROM own GROUP BY ALL),
+  apart AS (SELECT a.k, a.id, a.i AS mine, b.i, sum({near('a.x', 'b.x')}) AS t FROM own a JOIN own b ON a.k = b.k GROUP BY ALL),
+  ab AS (SELECT k, id, max(CASE WHEN mine = i AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN mine <> i THEN t / n END) AS b
+    FROM apart JOIN size USING (k, i) GROUP BY ALL),
+  sil AS (SELECT k, avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)) AS silhouette FROM ab GROUP BY k),
+  curve AS (SELECT k, sum(square) AS inertia, any_value(silhouette) AS silhouette FROM own JOIN sil USING (k) GROUP BY k) {out}"""
+
+
+@query(_kmeans_sql("WITH RECURSIVE pts AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)", [4], 5,
+                   "SELECT id AS vec_id, CAST(i - 1 AS INTEGER) AS cluster FROM own"))
 def kmeans(spark, d):
-    out, _ = cluster.kmeans(vectors(spark, d), DIMENSIONS, 4)
+    """Five iterations from drawn seeds."""
+    out, _ = cluster.kmeans(vectors(spark, d), "vec_id", DIMENSIONS, 4, max_iter=5, tol=0.0)
     return out.select("vec_id", "cluster")
 
 
@@ -101,48 +129,78 @@ def silhouette(spark, d):
     return cluster.silhouette(points, "vec_id", DIMENSIONS).select(six("silhouette").alias("silhouette"))
 
 
-@query()
+MEANS = "WITH RECURSIVE" + ORDER_PANEL + ", e AS (SELECT entity, " + ", ".join(f"avg({m}) AS {m}" for m in MEASURES) + \
+    " FROM panel GROUP BY entity), pts AS (SELECT row_number() OVER (ORDER BY entity) AS id, [" + ", ".join(
+        f"({m} - avg({m}) OVER ()) / stddev_pop({m}) OVER ()" for m in MEASURES) + "] AS x FROM e)"
+
+
+@query(_kmeans_sql(MEANS, range(2, 11), 10, "SELECT CAST(k AS INTEGER) AS k, round(inertia, 6) AS inertia, "
+                   "round(silhouette, 6) + 0.0 AS silhouette, CAST(NULL AS VARCHAR) AS reason FROM curve"))
 def sweep_k(spark, d):
     points = position(clean.standardise(panel.mean_by_entity(order_panel(spark, d), "entity", MEASURES), MEASURES),
                       [F.col("entity")], "row")
-    return cluster.sweep_k(points, "row", MEASURES)
+    curve = cluster.sweep_k(points, "row", MEASURES, max_iter=10, tol=0.0)
+    return clean.replace_columns(curve, {c: six(c) for c in ("inertia", "silhouette")})
 
 
-YEAR_CURVE = "c AS (SELECT period - 1994 AS k, CAST(sum(" + ROW_TOTAL + ") AS DOUBLE) AS inertia FROM panel GROUP BY period)"
+CURVE = "WITH RECURSIVE" + SCALED + ", pts AS (SELECT row_number() OVER (ORDER BY entity, period) AS id, [" + ", ".join(MEASURES) + "] AS x FROM z)"
+BEND = """SELECT {0} FROM (SELECT *, 1 - (inertia - min(inertia) OVER ()) / nullif(max(inertia) OVER () - min(inertia) OVER (), 0)
+    - (k - min(k) OVER ()) / nullif(max(k) OVER () - min(k) OVER (), 0) AS gap FROM curve)"""
 
 
-def _year_curve(spark, d):
-    sums = panel.sum_by_period(order_panel(spark, d), "period", MEASURES)
-    return sums.select((F.col("period") - 1994).alias("k"),
-                       C.row_total(MEASURES).cast("double").alias("inertia"))
+def _panel_curve(spark, d):
+    points = position(scaled_panel(spark, d), [F.col("entity"), F.col("period")], "row")
+    return cluster.sweep_k(points, "row", MEASURES, range(1, 21), max_iter=10, tol=0.0)
 
 
-@query("WITH" + ORDER_PANEL + "," + YEAR_CURVE + """, g AS (SELECT k, 1 - (inertia - min(inertia) OVER ()) /
-    nullif(max(inertia) OVER () - min(inertia) OVER (), 0)
-    - (k - min(k) OVER ()) / nullif(max(k) OVER () - min(k) OVER (), 0) AS gap FROM c)
-  SELECT k FROM g ORDER BY gap DESC, k LIMIT 1""")
+@query(_kmeans_sql(CURVE, range(1, 21), 10, BEND.format("CAST(arg_max(k, struct_pack(g := gap, k := -k)) AS INTEGER) AS k")))
 def knee(spark, d):
-    return cluster.knee(_year_curve(spark, d))
+    """The bend of the inertia of 1 to 20 clusters of the scaled panel."""
+    return cluster.knee(_panel_curve(spark, d))
 
 
-@query()
+@query(_kmeans_sql(CURVE, range(1, 21), 10, BEND.format(
+    "CAST(arg_max(k, struct_pack(g := gap, k := -k)) AS INTEGER) AS knee_k, CAST(arg_max(k, struct_pack(s := silhouette, k := -k)) AS INTEGER) "
+    "AS silhouette_k, CAST(coalesce(arg_max(k, struct_pack(g := gap, k := -k)), 5) AS INTEGER) AS k")))
 def choose_k(spark, d):
     """k by the knee of the inertia and by the silhouette, over the scaled panel."""
-    points = position(scaled_panel(spark, d), [F.col("entity"), F.col("period")], "row")
-    return cluster.choose_k(cluster.sweep_k(points, "row", MEASURES, range(1, 21), exact=False))
+    return cluster.choose_k(_panel_curve(spark, d))
 
 
-@query()
+# power iteration on the covariances of the standardised coordinates; each axis is taken out before the next is sought
+_AXIS = """p{0} AS (SELECT 0 AS step, list_transform(range(1, 65), lambda i: 1.0::DOUBLE / i / sqrt(list_sum(list_transform(range(1, 65), lambda q: 1.0::DOUBLE / q / q)))) AS v,
+    1.0::DOUBLE AS moved UNION ALL SELECT step + 1, list_transform(w, lambda x: x / size), list_max(list_transform(list_zip(v, w), lambda z: abs(z[2] / size - z[1]))) FROM (
+    SELECT *, sqrt(list_dot_product(w, w)) AS size FROM (SELECT step, v, list_transform(g, lambda r: list_dot_product(r, v)) AS w FROM p{0}, g{0}
+      WHERE step < 5000 AND moved > 1e-12))),
+  v{0} AS (SELECT arg_max(v, step) AS v FROM p{0}),
+  l{0} AS (SELECT v, list_dot_product(v, list_transform(g, lambda r: list_dot_product(r, v))) AS size FROM v{0}, g{0}),
+  a{0} AS (SELECT list_transform(v, lambda x: x * CASE WHEN v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))] >= 0
+    THEN 1 ELSE -1 END) AS axis FROM v{0})"""
+COMPONENTS = """WITH RECURSIVE f AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS j FROM embeddings),
+  s AS (SELECT j, avg(x) AS m, stddev_pop(x) AS sd FROM f GROUP BY j),
+  e AS (SELECT vec_id, label, j, (x - m) / sd AS x FROM f JOIN s USING (j)),
+  z AS (SELECT vec_id, label, list(x ORDER BY j) AS x FROM e GROUP BY ALL),
+  c AS (SELECT a.j AS i, b.j, covar_pop(a.x, b.x) AS c FROM e a JOIN e b USING (vec_id) GROUP BY ALL),
+  g1 AS MATERIALIZED (SELECT list(r ORDER BY i) AS g FROM (SELECT i, list(c ORDER BY j) AS r FROM c GROUP BY i)), """ + _AXIS.format(1) + """,
+  g2 AS MATERIALIZED (SELECT list_transform(g, lambda r, i: list_transform(r, lambda c, j: c - size * v[i] * v[j])) AS g FROM g1, l1), """ + _AXIS.format(2) + """,
+  pc AS (SELECT vec_id, label, list_dot_product(x, a1.axis) AS pc1, list_dot_product(x, a2.axis) AS pc2 FROM z, a1, a2)"""
+
+
+def _components(spark, d):
+    return cluster.pca2(clean.standardise(vectors(spark, d), DIMENSIONS), DIMENSIONS)
+
+
+@query(COMPONENTS + " SELECT vec_id, label, round(pc1, 6) + 0.0 AS pc1, round(pc2, 6) + 0.0 AS pc2 FROM pc")
 def pca2(spark, d):
-    return cluster.pca2(clean.standardise(vectors(spark, d), DIMENSIONS), DIMENSIONS).select(
-        "vec_id", "label", "pc1", "pc2")
+    return _components(spark, d).select("vec_id", "label", six("pc1").alias("pc1"), six("pc2").alias("pc2"))
 
 
-@query()
+@query(COMPONENTS + " SELECT label AS cluster, vec_id, round(pc1, 6) + 0.0 AS pc1, CAST(row_number() OVER (PARTITION BY label "
+       "ORDER BY pc1 DESC, vec_id) AS INTEGER) AS place FROM pc QUALIFY place <= 3")
 def top_by_component(spark, d):
     """Labels of the vectors as clusters; the three vectors of each with the largest first component."""
-    out = pca2(spark, d).withColumnRenamed("label", "cluster")
-    return cluster.top_by_component(out, ["vec_id"], 3)
+    out = _components(spark, d).withColumnRenamed("label", "cluster")
+    return cluster.top_by_component(out, ["vec_id"], 3).select("cluster", "vec_id", six("pc1").alias("pc1"), "place")
 
 
 @query("SELECT label AS cluster, vec_id FROM embeddings QUALIFY row_number() OVER "

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions.fixed_values import NO_ANSWER
-from panelspark.operators import cluster, linkage, questions, similar, text
+from panelspark.operators import cluster, kmeans, linkage, questions, similar, text
 from panelspark.operators.linkage import connected_components
 from panelspark.plans.entities import entity_clusters
 
@@ -64,6 +64,36 @@ def test_sweep_finds_the_three_groups(points):
     assert cluster.choose_k(curve).first().knee_k == 3
 
 
+def test_all_k_at_once_are_as_each_alone(points):
+    many, centres = kmeans.written(points, COLS), {}
+    seeds = kmeans.draw_seeds(many, "id", 5)
+    centres = kmeans.lloyd_many(many, {k: seeds[:k] for k in (1, 3, 5)}, 50)
+    data = np.array([[r.x, r.y] for r in points.orderBy("id").collect()])
+    figures = kmeans.curve_figures(many, centres)
+    for k in (1, 3, 5):
+        own, want = lloyd(data, np.array(seeds[:k]))
+        assert np.allclose(centres[k], want)
+        assert figures[k][0] == pytest.approx(((data - want[own]) ** 2).sum(-1).sum())
+        labelled, alone = cluster.kmeans(points, "id", COLS, k, max_iter=50)
+        assert [r.cluster for r in labelled.orderBy("id").collect()] == own.tolist() and np.allclose(alone, centres[k])
+    d = ((data[:, None] - data) ** 2).sum(-1)
+    own, scores = lloyd(data, np.array(seeds[:3]))[0], []
+    for i in range(len(data)):
+        a = d[i, own == own[i]].sum() / ((own == own[i]).sum() - 1)
+        b = min(d[i, own == c].mean() for c in set(own) - {own[i]})
+        scores.append((b - a) / max(a, b))
+    assert figures[3][1] == pytest.approx(np.mean(scores))
+
+
+def test_seeds_spread_and_stop_at_the_number_of_different_rows(spark, points):
+    seeds = kmeans.draw_seeds(kmeans.written(points, COLS), "id", 3)
+    assert len({tuple(np.round(np.array(s) / 6).astype(int)) for s in seeds}) == 3    # one in each of the three groups
+    same = spark.createDataFrame([(i, float(i % 2), 0.0) for i in range(9)], "id bigint, x double, y double")
+    assert len(kmeans.draw_seeds(kmeans.written(same, COLS), "id", 5)) == 2
+    curve = {r.k: r for r in cluster.sweep_k(same, "id", COLS, [1, 2, 3, 12]).collect()}
+    assert curve[2].inertia == 0 and curve[3].reason == "only 2 different rows" and curve[12].reason == "only 9 rows"
+
+
 def test_flat_curve_has_no_knee(spark):
     curve = spark.createDataFrame([(1, 2.0, 0.1), (2, 2.0, 0.2)], "k int, inertia double, silhouette double")
     r = cluster.choose_k(curve).first()
