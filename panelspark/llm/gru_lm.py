@@ -20,9 +20,11 @@ GROUPS, GROUP_WORDS = 32, 32    # classes of words with an output of their own,
 SHAPES = 16                     # classes of all other words, told by their form
 FREQUENT = 65_536               # words whose counts every task knows; the others are looked up by a join
 TRAIN_SHARE = 1                 # the weights see one in so many training documents, so all of them
-ROUNDS, STREAMS, UNROLL = 3, 64, 32
-RATE = 4e-3
-TRAINER_ROWS = 1_000            # documents per trainer
+ROUNDS, STREAMS, UNROLL = 1, 256, 32
+LEAST_STREAMS, LEAST_WINDOWS = 8, 64   # a short stream is cut into fewer, so that there are windows to learn from
+RATE = 1e-2
+TRAINER_ROWS = 8_000            # documents per trainer, until there are MOST_TRAINERS
+MOST_TRAINERS = 4_096           # beyond, trainers get more documents each; 64 groups of 64 weights are averaged
 END = np.uint64(0x5DEECE66D << 4)
 LOG10 = math.log(10.0)
 
@@ -160,6 +162,14 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Shares of each row, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 def _by_group(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of each group of words."""
     group = np.where(ids < GROUPS * GROUP_WORDS, ids % GROUPS, GROUPS)
@@ -218,10 +228,24 @@ def score_texts(w: dict[str, np.ndarray], texts: list[np.ndarray], width: int =
     return out
 
 
-def train_pass(w: dict[str, np.ndarray], stream: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-    """One pass of truncated backpropagation through time with Adam.
+@dataclass
+class Moments:
+    """What Adam remembers from one stream of a trainer to the next."""
+
+    first: dict[str, np.ndarray]
+    second: dict[str, np.ndarray]
+    step: int = 0
+
+    @classmethod
+    def none(cls, w: dict[str, np.ndarray]) -> Moments:
+        return cls({k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()})
+
+
+def train_pass(w: dict[str, np.ndarray], stream: np.ndarray, starts: np.ndarray,
+               moments: Moments | None = None) -> dict[str, np.ndarray]:
+    """One pass of truncated backpropagation through time with Adam, which goes on from ``moments``.
 
-    ``stream`` is cut into ``STREAMS`` parallel stretches; states go on from one
+    ``stream`` is cut into up to ``STREAMS`` parallel stretches; states go on from one
     window of ``UNROLL`` tokens to the next and restart where a text does.  The
     last stretches are filled up to the length of the others by places that
     count for nothing, so every token is learnt from.
@@ -229,21 +253,20 @@ def train_pass(w: dict[str, np.ndarray], stream: np.ndarray, starts: np.ndarray)
     if not len(stream):
         return w
     w = {k: v.copy() for k, v in w.items()}
-    first = {k: np.zeros_like(v) for k, v in w.items()}
-    second = {k: np.zeros_like(v) for k, v in w.items()}
-    lanes = max(1, min(STREAMS, len(stream) // UNROLL))
+    moments = moments or Moments.none(w)
+    first, second = moments.first, moments.second
+    lanes = max(1, min(STREAMS, max(LEAST_STREAMS, len(stream) // (UNROLL * LEAST_WINDOWS)), len(stream) // UNROLL))
     length = -(-len(stream) // lanes)
     filled = (0, lanes * length - len(stream))
     ids = np.pad(stream, filled).reshape(lanes, length).T
     fresh = np.pad(starts, filled).reshape(lanes, length).T
     real = np.pad(np.ones(len(stream), bool), filled).reshape(lanes, length).T
     state = np.zeros((lanes, STATE), np.float32)
-    s, step = STATE, 0
+    s = STATE
     for begin in range(0, length, UNROLL):
         x_ids, new_text = ids[begin:begin + UNROLL], fresh[begin:begin + UNROLL]
         span = len(x_ids)
-        vectors = w["vector"][x_ids]
-        taken = vectors @ w["take"] + w["bias"]
+        taken = (w["vector"] @ w["take"] + w["bias"])[x_ids]
         before, gates, cand, held = [], [], [], []
         for t in range(span):
             h = np.where(new_text[t][:, None], np.float32(0), state)
@@ -259,17 +282,26 @@ def train_pass(w: dict[str, np.ndarray], stream: np.ndarray, starts: np.ndarray)
         weight = real[begin:begin + UNROLL].reshape(-1, 1).astype(np.float32)
         weight /= weight.sum()
         grad = {k: np.zeros_like(v) for k, v in w.items()}
-        p = np.exp(_log_softmax(flat @ w["class"] + w["class_bias"]))
+        p = _softmax(flat @ w["class"] + w["class_bias"])
         p[np.arange(len(target)), _class_of(target)] -= 1
         p *= weight
         grad["class"], grad["class_bias"] = flat.T @ p, p.sum(axis=0)
         d_flat = p @ w["class"].T
-        for k, at in _by_group(target):
-            q = np.exp(_log_softmax(flat[at] @ w["word"][k] + w["word_bias"][k]))
-            q[np.arange(len(at)), target[at] // GROUPS] -= 1
-            q *= weight[at]
-            grad["word"][k], grad["word_bias"][k] = flat[at].T @ q, q.sum(axis=0)
-            d_flat[at] += q @ w["word"][k].T
+        # the words of a group stand together, so each group is a slice
+        own = np.flatnonzero(target < GROUPS * GROUP_WORDS)
+        own = own[np.argsort(target[own] % GROUPS, kind="stable")]
+        sorted_flat, sorted_weight, place = flat[own], weight[own], target[own] // GROUPS
+        d_sorted = np.empty_like(sorted_flat)
+        cuts = np.searchsorted(target[own] % GROUPS, np.arange(GROUPS + 1))
+        for k in range(GROUPS):
+            at = slice(cuts[k], cuts[k + 1])
+            if cuts[k] < cuts[k + 1]:
+                q = _softmax(sorted_flat[at] @ w["word"][k] + w["word_bias"][k])
+                q[np.arange(len(q)), place[at]] -= 1
+                q *= sorted_weight[at]
+                grad["word"][k], grad["word_bias"][k] = sorted_flat[at].T @ q, q.sum(axis=0)
+                d_sorted[at] = q @ w["word"][k].T
+        d_flat[own] += d_sorted
         d_states = d_flat.reshape(span, lanes, s)
         d_taken = np.empty((span, lanes, 3 * s), np.float32)
         d_u = np.empty((span, lanes, 3 * s), np.float32)
@@ -285,18 +317,19 @@ def train_pass(w: dict[str, np.ndarray], stream: np.ndarray, starts: np.ndarray)
             carry[new_text[t]] = 0
         grad["keep"] = flat.T @ d_u.reshape(-1, 3 * s)
         d_taken = d_taken.reshape(-1, 3 * s)
-        grad["bias"], grad["take"] = d_taken.sum(axis=0), vectors.reshape(-1, INPUT).T @ d_taken
-        d_vectors = d_taken @ w["take"].T
-        for j in range(INPUT):
-            grad["vector"][:, j] = np.bincount(target, weights=d_vectors[:, j], minlength=len(w["vector"]))
-        step += 1
+        grad["bias"] = d_taken.sum(axis=0)
+        by_word = np.argsort(target, kind="stable")
+        found, firsts = np.unique(target[by_word], return_index=True)
+        d_words = np.add.reduceat(d_taken[by_word], firsts, axis=0)
+        grad["vector"][found], grad["take"] = d_words @ w["take"].T, w["vector"][found].T @ d_words
+        moments.step += 1
         size = math.sqrt(sum(float((v * v).sum()) for v in grad.values()))
         scale = min(1.0, 1.0 / (size + 1e-9))
         for k, v in grad.items():
             v *= scale
             first[k] += 0.1 * (v - first[k])
             second[k] += 0.01 * (v * v - second[k])
-            w[k] -= (RATE / (1 - 0.9**step)) * first[k] / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+            w[k] -= (RATE / (1 - 0.9**moments.step)) * first[k] / (np.sqrt(second[k] / (1 - 0.99**moments.step)) + 1e-6)
     return w
 
 
@@ -316,11 +349,12 @@ def train(docs: DataFrame, known: Lexicon, share: int = TRAIN_SHARE, rounds: int
     """Rounds of parallel training: every trainer makes a pass over its documents, then weights are averaged.
 
     Trainers hold about ``TRAINER_ROWS`` documents each, so there are more of
-    them for more data.  The mean, weighted by tokens, is taken in two steps of
+    them for more data, up to ``MOST_TRAINERS``; a trainer's memory of its steps
+    goes on over all its documents.  The mean, weighted by tokens, is taken in two steps of
     bounded groups; the driver sees one set of weights per round.
     """
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(share)) == 0).select("text")
-    trainers = max(1, -(-chosen.count() // TRAINER_ROWS))
+    trainers = min(MOST_TRAINERS, max(1, -(-chosen.count() // TRAINER_ROWS)))
     chosen = materialise(chosen.repartition(trainers), "training_texts")
     fan = max(1, math.isqrt(trainers))
     weights = first_weights(known)
@@ -328,7 +362,7 @@ def train(docs: DataFrame, known: Lexicon, share: int = TRAIN_SHARE, rounds: int
         current = weights
 
         def run(batches: Iterator[pa.RecordBatch], current=current, turn=turn) -> Iterator[pa.RecordBatch]:
-            w, seen, who = current, 0, 0
+            w, seen, who, moments = current, 0, 0, Moments.none(current)
             for batch in batches:
                 found = list(tokens(batch.column(0)))
                 who = int(mix(np.array([found[0][:8].sum() + _U(turn)], np.uint64))[0] % _U(fan)) if found else 0
@@ -336,7 +370,7 @@ def train(docs: DataFrame, known: Lexicon, share: int = TRAIN_SHARE, rounds: int
                 stream = known.look_up(np.concatenate(found))[0] if found else np.zeros(0, np.int64)
                 starts = np.zeros(len(stream), bool)
                 starts[np.cumsum([0] + [len(f) for f in found[:-1]])] = bool(found)
-                w, seen = train_pass(w, stream, starts), seen + len(stream)
+                w, seen = train_pass(w, stream, starts, moments), seen + len(stream)
             yield pa.RecordBatch.from_arrays([pa.array([who], pa.int32()), pa.array([float(seen)]),
                                               pa.array([_flat(w).astype(np.float32).tobytes()], pa.binary())], ["who", "seen", "weights"])
 

@@ -1,8 +1,10 @@
 """The language model's weights learn from every training document, to its last token."""
 
 import numpy as np
+import pytest
 
 from panelspark.llm import gru_lm
+from texts import rows_of
 
 
 def test_weights_learn_from_every_training_document(spark):
@@ -41,3 +43,46 @@ def test_places_that_fill_a_stretch_count_for_nothing():
     assert (after["vector"][0] == before["vector"][0]).all() and np.isfinite(gru_lm._flat(after)).all()
     nothing = gru_lm.train_pass(before, stream[:0], np.zeros(0, bool))
     assert all((nothing[k] == before[k]).all() for k in before)
+
+
+def test_moments_go_on_from_stream_to_stream():
+    stream, starts = np.tile(np.arange(1, 41), 60), np.zeros(2400, bool)
+    before = _untrained()
+    moments = gru_lm.Moments.none(before)
+    once = gru_lm.train_pass(before, stream, starts, moments)
+    assert moments.step > 0
+    with_memory, without = gru_lm.train_pass(once, stream, starts, moments), gru_lm.train_pass(once, stream, starts)
+    assert (with_memory["class"] != without["class"]).any()
+
+
+def _plain_score(w, known, hashes):
+    """One token after another: class, word inside it or share of the form's counts, then the next state."""
+    s, own, h, total = gru_lm.STATE, gru_lm.GROUPS * gru_lm.GROUP_WORDS, np.zeros(gru_lm.STATE), 0.0
+    ids, counts, _ = known.look_up(hashes)
+    for token, count in zip(ids, counts):
+        logits = h @ w["class"] + w["class_bias"]
+        kind = token % gru_lm.GROUPS if token < own else gru_lm.GROUPS + token - own
+        total += logits[kind] - np.log(np.exp(logits).sum())
+        if token < own:
+            inside = h @ w["word"][kind] + w["word_bias"][kind]
+            total += inside[token // gru_lm.GROUPS] - np.log(np.exp(inside).sum())
+        else:
+            total += np.log(count + 0.5) - known.shape_log[token - own]
+        x, u = w["vector"][token] @ w["take"] + w["bias"], h @ w["keep"]
+        reset, update = (1 / (1 + np.exp(-(x[a:a + s] + u[a:a + s]))) for a in (0, s))
+        new = np.tanh(x[2 * s:] + reset * u[2 * s:])
+        h = (1 - update) * new + update * h
+    return total / np.log(10)
+
+
+def test_scores_agree_with_a_plain_scorer(spark, monkeypatch):
+    rows = [r[:2] for r in rows_of(9, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    trained, real = [], gru_lm.train
+    monkeypatch.setattr(gru_lm, "train", lambda *a: trained.append((a[1], real(*a))) or trained[0][1])
+    got = {r.doc_id: r.score for r in gru_lm.score_documents(docs).collect()}
+    known, w = trained[0]
+    w = {k: v.astype(float) for k, v in w.items()}
+    import pyarrow as pa
+    for (doc_id, _), hashes in zip(rows, gru_lm.tokens(pa.array([t for _, t in rows]))):
+        assert got[doc_id] == pytest.approx(_plain_score(w, known, hashes), rel=1e-4, abs=1e-3)
