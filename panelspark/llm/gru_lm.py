@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import mix, pieces, small_batches, word_bounds, word_hashes
 from panelspark.session import materialise
 
-STATE, INPUT = 24, 16           # sizes of the recurrent state and of a word's vector
+STATE, INPUT = 16, 16           # sizes of the recurrent state and of a word's vector
 GROUPS, GROUP_WORDS = 32, 32    # classes of words with an output of their own, and words in each
 SHAPES = 16                     # classes of all other words, told by their form
-FREQUENT = 65_536               # words whose counts every task knows; the others are looked up by a join
+FREQUENT = 262_144              # words whose counts every task knows; the others are looked up by a join
 TRAIN_SHARE = 1                 # the weights see one in so many training documents, so all of them
 ROUNDS, STREAMS, UNROLL = 1, 256, 32
 LEAST_STREAMS, LEAST_WINDOWS = 8, 64   # a short stream is cut into fewer, so that there are windows to learn from
 RATE = 1e-2
+CHUNK = 1_024                   # places whose outputs are worked out at once
 TRAINER_ROWS = 8_000            # documents per trainer, until there are MOST_TRAINERS
 MOST_TRAINERS = 4_096           # beyond, trainers get more documents each; 64 groups of 64 weights are averaged
 END = np.uint64(0x5DEECE66D << 4)
@@ -156,23 +157,26 @@ def _class_of(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < GROUPS * GROUP_WORDS, ids % GROUPS, ids - GROUPS * GROUP_WORDS + GROUPS)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Log of the share that softmax gives to one row of each column; ``x`` is used up."""
+    picked = x[chosen, np.arange(x.shape[1])]
+    most = x.max(axis=0)
+    x -= most
+    np.exp(x, out=x)
+    return picked - most - np.log(x.sum(axis=0))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    """Shares of each row, in place."""
-    x -= x.max(axis=1, keepdims=True)
+    """Shares of each column, in place; places stand in columns, as sums over the first axis are the fast ones."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= x.sum(axis=0)
     return x
 
 
 def _by_group(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Rows of each group of words."""
-    group = np.where(ids < GROUPS * GROUP_WORDS, ids % GROUPS, GROUPS)
+    group = np.where(ids < GROUPS * GROUP_WORDS, ids % GROUPS, GROUPS).astype(np.uint8)
     order = np.argsort(group, kind="stable")
     cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
     for g in range(GROUPS):
@@ -182,10 +186,12 @@ def _by_group(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def log_outputs(w: dict[str, np.ndarray], state: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Log probability of each token given the state before it (without the share inside a form)."""
-    rows = np.arange(len(ids))
-    out = _log_softmax(state @ w["class"] + w["class_bias"])[rows, _class_of(ids)].astype(np.float64)
+    out = np.empty(len(ids))
+    for low in range(0, len(ids), CHUNK):
+        at = slice(low, low + CHUNK)
+        out[at] = _log_share(w["class"].T @ state[at].T + w["class_bias"][:, None], _class_of(ids[at]))
     for g, at in _by_group(ids):
-        out[at] += _log_softmax(state[at] @ w["word"][g] + w["word_bias"][g])[np.arange(len(at)), ids[at] // GROUPS]
+        out[at] += _log_share(w["word"][g].T @ state[at].T + w["word_bias"][g][:, None], ids[at] // GROUPS)
     return out
 
 
@@ -279,28 +285,33 @@ def train_pass(w: dict[str, np.ndarray], stream: np.ndarray, starts: np.ndarray,
             held.append(u[:, 2 * s:])
             state = c + g[:, s:] * (h - c)
         flat, target = np.concatenate(before), x_ids.reshape(-1)
-        weight = real[begin:begin + UNROLL].reshape(-1, 1).astype(np.float32)
+        weight = real[begin:begin + UNROLL].reshape(-1).astype(np.float32)
         weight /= weight.sum()
         grad = {k: np.zeros_like(v) for k, v in w.items()}
-        p = _softmax(flat @ w["class"] + w["class_bias"])
-        p[np.arange(len(target)), _class_of(target)] -= 1
-        p *= weight
-        grad["class"], grad["class_bias"] = flat.T @ p, p.sum(axis=0)
-        d_flat = p @ w["class"].T
+        d_flat, classes = np.empty_like(flat), _class_of(target)
+        for low in range(0, len(flat), CHUNK):  # a stretch at a time stays in the cache
+            at = slice(low, low + CHUNK)
+            p = _softmax(w["class"].T @ flat[at].T + w["class_bias"][:, None])
+            p[classes[at], np.arange(p.shape[1])] -= 1
+            p *= weight[at]
+            grad["class"] += (p @ flat[at]).T
+            grad["class_bias"] += p.sum(axis=1)
+            d_flat[at] = p.T @ w["class"].T
         # the words of a group stand together, so each group is a slice
-        own = np.flatnonzero(target < GROUPS * GROUP_WORDS)
-        own = own[np.argsort(target[own] % GROUPS, kind="stable")]
+        group = np.where(target < GROUPS * GROUP_WORDS, target % GROUPS, GROUPS).astype(np.uint8)
+        own = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[own], np.arange(GROUPS + 1))
+        own = own[:cuts[GROUPS]]
         sorted_flat, sorted_weight, place = flat[own], weight[own], target[own] // GROUPS
         d_sorted = np.empty_like(sorted_flat)
-        cuts = np.searchsorted(target[own] % GROUPS, np.arange(GROUPS + 1))
         for k in range(GROUPS):
             at = slice(cuts[k], cuts[k + 1])
             if cuts[k] < cuts[k + 1]:
-                q = _softmax(sorted_flat[at] @ w["word"][k] + w["word_bias"][k])
-                q[np.arange(len(q)), place[at]] -= 1
+                q = _softmax(w["word"][k].T @ sorted_flat[at].T + w["word_bias"][k][:, None])
+                q[place[at], np.arange(q.shape[1])] -= 1
                 q *= sorted_weight[at]
-                grad["word"][k], grad["word_bias"][k] = sorted_flat[at].T @ q, q.sum(axis=0)
-                d_sorted[at] = q @ w["word"][k].T
+                grad["word"][k], grad["word_bias"][k] = (q @ sorted_flat[at]).T, q.sum(axis=1)
+                d_sorted[at] = q.T @ w["word"][k].T
         d_flat[own] += d_sorted
         d_states = d_flat.reshape(span, lanes, s)
         d_taken = np.empty((span, lanes, 3 * s), np.float32)
@@ -318,18 +329,28 @@ def train_pass(w: dict[str, np.ndarray], stream: np.ndarray, starts: np.ndarray,
         grad["keep"] = flat.T @ d_u.reshape(-1, 3 * s)
         d_taken = d_taken.reshape(-1, 3 * s)
         grad["bias"] = d_taken.sum(axis=0)
-        by_word = np.argsort(target, kind="stable")
+        by_word = np.argsort(target.astype(np.uint16), kind="stable")
         found, firsts = np.unique(target[by_word], return_index=True)
         d_words = np.add.reduceat(d_taken[by_word], firsts, axis=0)
         grad["vector"][found], grad["take"] = d_words @ w["take"].T, w["vector"][found].T @ d_words
         moments.step += 1
-        size = math.sqrt(sum(float((v * v).sum()) for v in grad.values()))
+        size = math.sqrt(sum(float(np.vdot(v, v)) for v in grad.values()))
         scale = min(1.0, 1.0 / (size + 1e-9))
+        rate, spread = RATE / (1 - 0.9**moments.step), 1 / math.sqrt(1 - 0.99**moments.step)
         for k, v in grad.items():
             v *= scale
-            first[k] += 0.1 * (v - first[k])
-            second[k] += 0.01 * (v * v - second[k])
-            w[k] -= (RATE / (1 - 0.9**moments.step)) * first[k] / (np.sqrt(second[k] / (1 - 0.99**moments.step)) + 1e-6)
+            first[k] *= 0.9
+            first[k] += 0.1 * v
+            v *= v
+            v *= 0.01
+            second[k] *= 0.99
+            second[k] += v
+            np.sqrt(second[k], out=v)
+            v *= spread
+            v += 1e-6
+            np.divide(first[k], v, out=v)
+            v *= rate
+            w[k] -= v
     return w
 
 
