@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import pieces, small_batches, word_bounds
+from panelspark.llm.common import Sums, pieces, small_batches, word_bounds
 from panelspark.session import materialise
 
 MIN_DOCUMENTS = 30
@@ -150,40 +150,13 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield first, last, np.repeat(np.arange(last - first), np.diff(rows)), terms.indices.to_numpy(), terms.dictionary
 
 
-class _Sums:
-    """Counts by key that a task holds back, at most about ``most`` rows of them."""
-
-    def __init__(self, keys: list[str], most: int):
-        self.keys, self.most, self.held, self.rows = keys, most, [], 0
-
-    def add(self, table: pa.Table) -> Iterator[pa.RecordBatch]:
-        self.held.append(table)
-        self.rows += len(table)
-        if self.rows > self.most:
-            self._join()
-            if self.rows > self.most // 2:
-                yield from self.flush()
-
-    def _join(self) -> None:
-        if self.held:
-            joined = pa.concat_tables(self.held).group_by(self.keys, use_threads=False).aggregate([("n", "sum")])
-            joined = joined.rename_columns([c.removesuffix("_sum") for c in joined.column_names])
-            self.held, self.rows = [joined.select([*self.keys, "n"])], len(joined)
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        self._join()
-        for table in self.held:
-            yield from table.to_batches(max_chunksize=50_000)
-        self.held, self.rows = [], 0
-
-
 def _plain(column: pa.Array) -> pa.DictionaryArray:
     return column.cast(pa.string()).dictionary_encode()
 
 
 def _documents_by_term(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = _Sums(["lang", "term"], most)
+        sums = Sums(["lang", "term"], most)
         for batch in batches:
             langs = _plain(batch.column(0))
             lang_of = langs.indices.to_numpy().astype(np.int64)
@@ -200,7 +173,7 @@ def _documents_by_term(most: int):
 
 def _recount(vocabulary, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = Vocabulary(vocabulary.value), _Sums(["lang", "source", "ordinal"], most)
+        known, sums = Vocabulary(vocabulary.value), Sums(["lang", "source", "ordinal"], most)
         for batch in batches:
             langs, sources = _plain(batch.column(0)), _plain(batch.column(1))
             n_sources = max(1, len(sources.dictionary))

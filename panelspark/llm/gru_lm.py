@@ -12,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import mix, pieces, small_batches, word_bounds, word_hashes
+from panelspark.llm.common import Sums, mix, pieces, small_batches, word_bounds, word_hashes
 from panelspark.session import materialise
 
 STATE, INPUT = 16, 16           # sizes of the recurrent state and of a word's vector
 GROUPS, GROUP_WORDS = 32, 32    # classes of words with an output of their own, and words in each
 SHAPES = 16                     # classes of all other words, told by their form
 FREQUENT = 262_144              # words whose counts every task knows; the others are looked up by a join
+HELD_WORDS = 1_000_000          # counts that a task keeps before it sends them on
 TRAIN_SHARE = 1                 # the weights see one in so many training documents, so all of them
 ROUNDS, STREAMS, UNROLL = 1, 256, 32
 LEAST_STREAMS, LEAST_WINDOWS = 8, 64   # a short stream is cut into fewer, so that there are windows to learn from
@@ -56,11 +57,13 @@ def tokens(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = Sums(["word"], HELD_WORDS)
     for batch in batches:
         found = list(tokens(batch.column(0)))
         if found:
-            word, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+            counts = pa.array(np.concatenate(found).view(np.int64)).value_counts()
+            yield from sums.add(pa.table({"word": counts.field("values"), "n": counts.field("counts")}))
+    yield from sums.flush()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -81,9 +84,35 @@ class Lexicon:
     group_counts: np.ndarray  # counts of the words with an output
     shape_counts: np.ndarray  # tokens without one, per form
 
+    def __post_init__(self):
+        # where the words begin whose hashes start with the same bits: about one word each
+        bits = max(1, len(self.words).bit_length())
+        self._shift = _U(64 - bits)
+        self._begin = np.searchsorted(self.words, np.arange(1 << bits, dtype=np.uint64) << self._shift)
+        self._ended = np.append(self.words, ~_U(0))
+
+    def _place(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of the first word that is not below each hash."""
+        at = self._begin[(hashes >> self._shift).astype(np.int64)]
+        below = np.flatnonzero(self._ended[at] < hashes)
+        while len(below):
+            at[below] += 1
+            below = below[self._ended[at[below]] < hashes[below]]
+        return at
+
+    def inputs(self, hashes: np.ndarray) -> np.ndarray:
+        """Class input of each token: its number where it has an output of its own, else its form's."""
+        own = np.flatnonzero(self.output >= 0)
+        out = GROUPS * GROUP_WORDS + (hashes & _U(SHAPES - 1)).astype(np.int64)
+        if len(own):
+            at = np.minimum(np.searchsorted(self.words[own], hashes), len(own) - 1)
+            known = np.flatnonzero(self.words[own][at] == hashes)
+            out[known] = self.output[own][at[known]]
+        return out
+
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class input of each token, its count (0 unless frequent) and whether it is frequent."""
-        at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
+        at = np.minimum(self._place(hashes), max(len(self.words) - 1, 0))
         known = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
         counts = np.where(known, self.counts[at] if len(self.words) else 0, 0)
         output = np.where(known, self.output[at] if len(self.words) else -1, -1)
@@ -388,7 +417,7 @@ def train(docs: DataFrame, known: Lexicon, share: int = TRAIN_SHARE, rounds: int
                 found = list(tokens(batch.column(0)))
                 who = int(mix(np.array([found[0][:8].sum() + _U(turn)], np.uint64))[0] % _U(fan)) if found else 0
                 found = [found[i] for i in np.random.default_rng(turn).permutation(len(found))]
-                stream = known.look_up(np.concatenate(found))[0] if found else np.zeros(0, np.int64)
+                stream = known.inputs(np.concatenate(found)) if found else np.zeros(0, np.int64)
                 starts = np.zeros(len(stream), bool)
                 starts[np.cumsum([0] + [len(f) for f in found[:-1]])] = bool(found)
                 w, seen = train_pass(w, stream, starts, moments), seen + len(stream)

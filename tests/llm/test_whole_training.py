@@ -86,3 +86,19 @@ def test_scores_agree_with_a_plain_scorer(spark, monkeypatch):
     import pyarrow as pa
     for (doc_id, _), hashes in zip(rows, gru_lm.tokens(pa.array([t for _, t in rows]))):
         assert got[doc_id] == pytest.approx(_plain_score(w, known, hashes), rel=1e-4, abs=1e-3)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 4000])
+def test_words_are_found_by_their_first_bits(n):
+    dice = np.random.default_rng(n)
+    words = np.unique(dice.integers(0, 2**64, n, dtype=np.uint64))
+    known = gru_lm.Lexicon(words, np.ones(len(words), int), np.zeros(len(words), int), 0, 0, np.zeros(16), np.ones(1024), np.ones(16))
+    asked = np.concatenate([words, words + np.uint64(1), dice.integers(0, 2**64, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+    assert (known._place(asked) == np.searchsorted(words, asked)).all()
+    assert (known.look_up(asked)[2] == np.isin(asked, words)).all()
+
+
+def test_inputs_are_those_of_the_lookup(spark):
+    known = gru_lm.lexicon(spark.createDataFrame([(i * 7919 + 3, 1 + 3000 // (i + 1)) for i in range(3000)], "word bigint, n bigint"))
+    asked = np.concatenate([known.words, known.words + np.uint64(1)])
+    assert (known.inputs(asked) == known.look_up(asked)[0]).all()
