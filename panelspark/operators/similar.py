@@ -19,6 +19,8 @@ from panelspark.session import materialise, spread
 MATCH = "query_id bigint, rep_id bigint, score double"
 # a search may add up so many rows for each posting of the documents; blocks move every posting at least once
 SEARCH_ROWS = 2
+# a list of queries is short up to one of so many of the documents' postings
+SEARCH_SHARE = 50
 
 
 def best_matches(queries: DataFrame, docs: DataFrame, k: int, score: str = "dot",
@@ -28,19 +30,22 @@ def best_matches(queries: DataFrame, docs: DataFrame, k: int, score: str = "dot"
     Documents that share nothing with the query are left out.  With ``match``
     both sides carry a ``label`` that must agree, with ``unlike`` one that must not.
 
-    A list of queries is answered by ``max_score`` over the postings of its terms.
-    Where these lists, each counted once per query that holds the term, come to
-    more than ``SEARCH_ROWS`` times the documents' postings (a table against
-    itself), and for other scores than the dot product, blocks of both sides
+    A short list of queries (at most one entry per ``SEARCH_SHARE`` of the
+    documents') is answered by ``max_score`` over the postings of its terms,
+    unless these lists, each counted once per query that holds the term, come
+    to more than ``SEARCH_ROWS`` times the documents' postings.  For longer
+    lists, and for other scores than the dot product, blocks of both sides
     meet.  Both ways give the same rows.
     """
     if score == "dot" and not unlike:
-        lists = read_lists(queries, docs)
-        plan = plan_search(queries, lists, k, greatest_length(docs))
-        rows, = plan.agg(F.coalesce(F.sum("df"), F.lit(0))).first()
-        held, = docs.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-        if rows <= SEARCH_ROWS * held:
-            return max_score(queries, docs, k, match, lists, plan)
+        queries = materialise(queries, "queries")  # read for its terms, its weights and its size
+        entries = F.coalesce(F.sum(F.size("terms")), F.lit(0))
+        asked, held = queries.agg(entries).first()[0], docs.agg(entries).first()[0]
+        if asked * SEARCH_SHARE <= held:
+            lists = read_lists(queries, docs)
+            plan = plan_search(queries, lists, k, greatest_length(docs))
+            if plan.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0] <= SEARCH_ROWS * held:
+                return max_score(queries, docs, k, match, lists, plan)
     return block_matches(queries, docs, k, score, match, unlike)
 
 
@@ -119,7 +124,8 @@ def knn_error_curve(index: TextIndex, k_max: int = 20) -> DataFrame:
     vector is searched once and its documents are counted.
     """
     queries = index.vectors.withColumnRenamed("rep_id", "query_id")
-    near = materialise(nearest_docs(queries, index, k_max), "neighbours")
+    # the table against itself
+    near = materialise(_expand(block_matches(queries, index.vectors, k_max), index.docs, k_max), "neighbours")
     per_k = near.withColumn("k", F.explode(F.sequence(F.col("place"), F.lit(k_max))))
     predicted = vote(per_k, ["query_id", "k"]).select(
         F.col("query_id").alias("rep_id"), "k", F.col("label").alias("predicted"))
@@ -187,15 +193,15 @@ def label_vectors(index: TextIndex) -> DataFrame:
     return index.docs.select("rep_id", "label").distinct().join(index.vectors, "rep_id")
 
 
-def _best_score(queries: DataFrame, docs: DataFrame, score: str) -> DataFrame:
-    best = best_matches(queries, docs, 1, score, match=True)
+def _best_score(queries: DataFrame, docs: DataFrame, find=best_matches) -> DataFrame:
+    best = find(queries, docs, 1, match=True)
     return queries.select("query_id").join(best, "query_id", "left").select(
         "query_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def best_cosine(queries: DataFrame, index: TextIndex) -> DataFrame:
     """Largest cosine of a query vector and a document of the query's label."""
-    return _best_score(queries, materialise(label_vectors(index), "label_vectors"), "dot")
+    return _best_score(queries, materialise(label_vectors(index), "label_vectors"))
 
 
 def _as_sets(df: DataFrame, key: str, words: Column, per_word: Column) -> DataFrame:
@@ -217,7 +223,8 @@ def best_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     q = _as_sets(spread(queries), "query_id", _word_set("text"), F.lit(1.0))
     d = _as_sets(spread(docs).select(F.col("doc_id").alias("rep_id"), "label", "text"), "rep_id",
                  _word_set("text"), F.lit(100.0) / F.size("terms"))
-    return _best_score(materialise(q, "query_words"), materialise(d, "doc_words"), "dot")
+    # function words are in, whose lists are nearly all documents: a search would read almost everything
+    return _best_score(materialise(q, "query_words"), materialise(d, "doc_words"), block_matches)
 
 
 def _phonetic_sets(df: DataFrame, key: str) -> DataFrame:

@@ -130,6 +130,7 @@ def test_max_score_leaves_common_lists_unread(spark, monkeypatch):
 def test_a_query_list_is_searched_without_blocks(spark, monkeypatch, index):
     monkeypatch.setattr(similar, "meet", None)
     monkeypatch.setattr(similar, "SEARCH_ROWS", 100)
+    monkeypatch.setattr(similar, "SEARCH_SHARE", 0)
     asked = text.transform_tfidf(spark.createDataFrame([(10, "cough fever"), (12, "nausea")], "query_id bigint, text string"), index)
     out = similar.knn_text(asked, index, 2)
     assert "FlatMapCoGroups" not in out._jdf.queryExecution().toString()
