@@ -193,8 +193,8 @@ def label_vectors(index: TextIndex) -> DataFrame:
     return index.docs.select("rep_id", "label").distinct().join(index.vectors, "rep_id")
 
 
-def _best_score(queries: DataFrame, docs: DataFrame, find=best_matches) -> DataFrame:
-    best = find(queries, docs, 1, match=True)
+def _best_score(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    best = block_matches(queries, docs, 1, match=True)
     return queries.select("query_id").join(best, "query_id", "left").select(
         "query_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
@@ -223,8 +223,7 @@ def best_overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     q = _as_sets(spread(queries), "query_id", _word_set("text"), F.lit(1.0))
     d = _as_sets(spread(docs).select(F.col("doc_id").alias("rep_id"), "label", "text"), "rep_id",
                  _word_set("text"), F.lit(100.0) / F.size("terms"))
-    # function words are in, whose lists are nearly all documents: a search would read almost everything
-    return _best_score(materialise(q, "query_words"), materialise(d, "doc_words"), block_matches)
+    return _best_score(materialise(q, "query_words"), materialise(d, "doc_words"))
 
 
 def _phonetic_sets(df: DataFrame, key: str) -> DataFrame:
