@@ -102,29 +102,3 @@ def model_accuracy(predictions: DataFrame) -> DataFrame:
     """Share of rows whose prediction is right; no prediction is a wrong one."""
     right = F.coalesce((F.col("label") == F.col("predicted")).cast("int"), F.lit(0))
     return predictions.agg(F.avg(right).alias("accuracy"))
-
-
-def logistic_classify(train: DataFrame, test: DataFrame, features: Sequence[str],
-                      label: str, max_iter: int = 100) -> DataFrame:
-    """Multinomial logistic regression; ``test`` with ``label`` and ``predicted``.
-
-    The penalty equals a unit inverse strength on the summed loss, so it is one
-    over the number of training rows on MLlib's mean loss.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-
-    labels = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc",
-                           handleInvalid="skip")
-    fitted_labels = labels.fit(train)
-    rows = train.count()
-    model = Pipeline(stages=[
-        fitted_labels,
-        VectorAssembler(inputCols=list(features), outputCol="_x"),
-        LogisticRegression(featuresCol="_x", labelCol="_y", predictionCol="_p",
-                           family="multinomial", regParam=1.0 / max(rows, 1),
-                           standardization=False, maxIter=max_iter),
-        IndexToString(inputCol="_p", outputCol="predicted", labels=fitted_labels.labels),
-    ]).fit(train)
-    return model.transform(test).drop("_x", "_y", "_p", "rawPrediction", "probability")

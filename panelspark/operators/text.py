@@ -120,6 +120,8 @@ def fit_tfidf(docs: DataFrame, stop_words: Sequence[str] = (), mode: str = "word
     replaces the tokenisation where the caller has its own.
     """
     terms = term_array if term_array is not None else index_terms(tokens("text", mode, stop_words))
+    # a document without text is one without terms
+    terms = F.coalesce(terms, F.array().cast("array<string>"))
     tokenised = materialise(
         spread(docs).select("doc_id", "label", terms.alias("tokens")).withColumn(
             "bag", F.sha2(F.array_join(F.sort_array("tokens"), " "), 256)), "tokens")

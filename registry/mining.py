@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.functions import columns as C
-from panelspark.operators import clean, cluster, linkage, metrics, panel, questions, similar
+from panelspark.operators import clean, cluster, divisive, linkage, logistic, metrics, panel, questions, similar
 from panelspark.operators.ordering import position
 from panelspark.plans.entities import entity_clusters as cluster_entities, prepare_entities as prepare
 from panelspark.plans.text import analyse_texts as analyse, classify_texts as classify
@@ -264,11 +264,52 @@ def knn_numeric(spark, d):
     return out.withColumn("share", six("share"))
 
 
-@query()
-def logistic_classify(spark, d):
+# softmax regression on period and total, written out as one recursive step; a state holds the weights of all labels
+REGRESSION = "WITH RECURSIVE" + ORDER_PANEL + f""", x AS (SELECT {ROW_ID} AS id, entity AS label, period, {ROW_TOTAL} AS total FROM panel),
+  held AS (SELECT *, CAST('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 2000 AS test FROM x),
+  sc AS MATERIALIZED (SELECT count(*) AS n, avg(period) AS m1, stddev_pop(period) AS s1, avg(total) AS m2, stddev_pop(total) AS s2 FROM held WHERE NOT test),
+  codes AS MATERIALIZED (SELECT label, row_number() OVER (ORDER BY label) AS i FROM (SELECT DISTINCT label FROM held WHERE NOT test)),
+  z AS MATERIALIZED (SELECT c.i AS y, [(period - m1) / s1, (total - m2) / s2, 1.0::DOUBLE] AS x FROM held JOIN codes c USING (label), sc WHERE NOT test),
+  pace AS MATERIALIZED (SELECT n, [1 / (n * s1 * s1), 1 / (n * s2 * s2), 0.0::DOUBLE] AS pen, 1 / (1.5 + greatest(1 / (n * s1 * s1), 1 / (n * s2 * s2))) AS h FROM sc),
+  fit AS (
+    SELECT 0 AS step, list([0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]) AS w, list([0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]) AS ahead FROM codes
+    UNION ALL
+    SELECT step + 1, list(new ORDER BY i), list(list_transform(list_zip(new, old), lambda q: q[1] + (step + 1) / (step + 4.0::DOUBLE) * (q[1] - q[2])) ORDER BY i)
+    FROM (SELECT step, i, any_value(old) AS old, list_transform([1, 2, 3], lambda j: any_value(a)[j] - any_value(h) * (
+        [sum(r * x[1]), sum(r * x[2]), sum(r * x[3])][j] / any_value(n) + any_value(pen)[j] * any_value(a)[j])) AS new
+      FROM (SELECT step, x, g.i, w[g.i] AS old, ahead[g.i] AS a, h, n, pen,
+          exp(l[g.i] - list_max(l)) / list_sum(list_transform(l, lambda v: exp(v - list_max(l)))) - CASE WHEN y = g.i THEN 1 ELSE 0 END AS r
+        FROM (SELECT step, x, y, w, ahead, list_transform(ahead, lambda c: list_dot_product(c, x)) AS l FROM fit, z WHERE step < 30), pace, codes g)
+      GROUP BY step, i) GROUP BY step),
+  model AS MATERIALIZED (SELECT label, [v[1] / s1, v[2] / s2, v[3] - v[1] / s1 * m1 - v[2] / s2 * m2] AS w
+    FROM (SELECT label, i, (SELECT arg_max(w, step) FROM fit)[i] AS v FROM codes), sc)"""
+
+
+def _regression(spark, d):
     train, test = metrics.split_train_test(_numbered(spark, d), "id")
-    predicted = metrics.logistic_classify(train, test, ["period", "total"], "label")
-    return metrics.classification_metrics(predicted.select("label", "predicted"))
+    return logistic.fit_logistic(train, ["period", "total"], "label", steps=30), test
+
+
+@query(REGRESSION + """ SELECT label, round(w[1], 6) + 0.0 AS period, round(w[2], 6) + 0.0 AS total, round(w[3], 6) + 0.0 AS intercept FROM model""")
+def logistic_weights(spark, d):
+    """The weights after thirty steps."""
+    model, _ = _regression(spark, d)
+    return model.select("label", *[six(F.col("weights")[i]).alias(c) for i, c in enumerate(["period", "total", "intercept"])])
+
+
+@query(REGRESSION + """, p AS (SELECT id, held.label AS actual, arg_max(m.label, struct_pack(s := list_dot_product(w, [period, total, 1.0::DOUBLE]),
+     a := -c.i)) AS predicted FROM held, model m JOIN codes c USING (label) WHERE test GROUP BY id, held.label),
+   labels2 AS (SELECT actual AS c FROM p UNION SELECT predicted FROM p),
+   per AS (SELECT c, count(*) FILTER (WHERE actual = c) AS sup, count(*) FILTER (WHERE predicted = c) AS pre,
+     count(*) FILTER (WHERE actual = c AND predicted = c) AS tp FROM labels2, p GROUP BY c),
+   r AS (SELECT sup, tp, coalesce(tp / nullif(pre, 0), 0) AS pr, coalesce(tp / nullif(sup, 0), 0) AS re FROM per)
+   SELECT round(sum(tp) / sum(sup), 6) AS accuracy, round(sum(pr * sup) / sum(sup), 6) AS precision,
+     round(sum(re * sup) / sum(sup), 6) AS recall,
+     round(sum(coalesce(2 * pr * re / nullif(pr + re, 0), 0) * sup) / sum(sup), 6) AS f1 FROM r""")
+def logistic_classify(spark, d):
+    model, test = _regression(spark, d)
+    out = metrics.classification_metrics(logistic.predict_logistic(test, model, ["period", "total"]).select("label", "predicted"))
+    return out.select([six(c).alias(c) for c in out.columns])
 
 
 # ---------------------------------------------------------------- linkage
@@ -323,14 +364,39 @@ def single_link_merges(spark, d):
     return linkage.single_link_tree(index(spark, d)).withColumn("distance", six("distance"))
 
 
+def _halves_sql(rounds):
+    """Two halves of all vectors: the seeds, then the rounds written out."""
+    def dots(name, table, cols):
+        return f"{name} AS MATERIALIZED (SELECT id, any_value(copies) AS copies, " + ", ".join(
+            f"round(sum(weight * coalesce({c}, 0)), 9) AS {c}" for c in cols) + f" FROM own LEFT JOIN {table} USING (term) GROUP BY id)"
+    sql = "WITH " + INDEX + """, bags AS (SELECT doc_id, min(doc_id) OVER w AS rep, count(*) OVER w AS copies FROM tok WINDOW w AS (PARTITION BY list_sort(toks))),
+  own AS MATERIALIZED (SELECT doc_id AS id, copies, term, weight FROM post JOIN bags USING (doc_id) WHERE doc_id = rep),
+  w0 AS (SELECT term, s / sqrt(sum(s * s) OVER ()) AS c0 FROM (SELECT term, sum(copies * weight) AS s FROM own GROUP BY term)),
+  """ + dots("d0", "w0", ["c0"]) + """, first AS (SELECT term, weight AS c0 FROM own WHERE id = (SELECT arg_min(id, struct_pack(c := c0, i := id)) FROM d0)),
+  """ + dots("d1", "first", ["c0"]) + """, second AS (SELECT term, weight AS c1 FROM own WHERE id = (SELECT arg_min(id, struct_pack(c := c0, i := id)) FROM d1)),
+  both_seeds AS (SELECT * FROM first FULL JOIN second USING (term)), """ + dots("s0", "both_seeds", ["c0", "c1"])
+    for n in range(1, rounds + 1):
+        sql += f""",
+  t{n} AS (SELECT term, sum(CASE WHEN c1 > c0 THEN 0 ELSE own.copies * weight END) AS a, sum(CASE WHEN c1 > c0 THEN own.copies * weight ELSE 0 END) AS b
+    FROM own JOIN s{n - 1} USING (id) GROUP BY term),
+  m{n} AS (SELECT term, a / sqrt(sum(a * a) OVER ()) AS c0, b / sqrt(sum(b * b) OVER ()) AS c1 FROM t{n}), """ + dots(f"s{n}", f"m{n}", ["c0", "c1"])
+    return sql + f""" SELECT bags.doc_id, CASE WHEN c0 IS NULL THEN -1 WHEN c1 > c0 THEN 1 ELSE 0 END AS cluster FROM bags LEFT JOIN s{rounds} ON id = rep"""
+
+
+@query(_halves_sql(divisive.ROUNDS_PER_SPLIT))
+def divisive_halves(spark, d):
+    """The first split of the tree."""
+    return divisive.divisive_clusters(index(spark, d), 2)
+
+
 @query()
 def divisive_clusters(spark, d):
-    return linkage.divisive_clusters(index(spark, d), 4)
+    return divisive.divisive_clusters(index(spark, d), 4)
 
 
 @query()
 def divisive_sweep(spark, d):
-    return linkage.divisive_sweep(index(spark, d))
+    return divisive.divisive_sweep(index(spark, d))
 
 
 # -------------------------------------------------------------- questions
