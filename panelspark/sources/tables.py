@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import as_column, coerce_numeric, normalise_label
-from panelspark.operators.ordering import position
+from panelspark.session import materialise
 
 
 def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -32,18 +32,30 @@ def _read(spark: SparkSession, path: str, fmt: str, multi_line: bool = False) ->
     return spark.read.format(fmt).load(path)
 
 
+# pieces of files whose first numbers may be sent to every task
+BROADCAST_PIECES = 1_000_000
+
+
 def _numbered(raw: DataFrame, cols: Sequence[Column], doc_id: str | None) -> DataFrame:
     """The columns with ``doc_id``: the named column, or the 1-based place of the row in the files by path.
 
-    Inside a piece of a file row numbers rise with the rows; pieces and files
-    are read in any order, so their path and start come first.
+    Rows are written once where they were read and never move: a place is the
+    number of rows in the pieces of files before, a running sum over one row
+    per piece, plus the place inside the piece, where row numbers rise.
     """
     if doc_id:
         return raw.select(as_column(doc_id).cast("bigint").alias("doc_id"), *cols)
-    placed = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-                        F.monotonically_increasing_id().alias("_nth"), *cols)
-    order = [F.col("_file"), F.col("_start"), F.col("_nth")]
-    return position(placed, order, "_place").select(F.col("_place").alias("doc_id"), "*").drop("_file", "_start", "_nth", "_place")
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    placed = materialise(raw.select(file.alias("_file"), start.alias("_start"), F.xxhash64(file).alias("_hash"),
+                                    F.monotonically_increasing_id().alias("_nth"), *cols), "read_rows")
+    pieces = placed.groupBy("_file", "_start", "_hash").agg(F.min("_nth").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialise(pieces.select("_start", "_hash", (
+        F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")), "pieces")
+    if offsets.count() <= BROADCAST_PIECES:
+        offsets = F.broadcast(offsets)
+    rows = placed.join(offsets, ["_hash", "_start"])
+    return rows.select((F.col("_nth") + F.col("_shift")).alias("doc_id"), "*").drop("_file", "_start", "_hash", "_nth", "_shift")
 
 
 def _label(name: str, normalise: bool) -> Column:
@@ -69,7 +81,9 @@ def read_labelled_text(spark: SparkSession, path: str, label: str, text: str,
                        fmt: str = "csv", multi_line: bool = True, normalise: bool = True) -> DataFrame:
     """``(doc_id, label, text, attributes...)``; labels trimmed and lower-cased unless told otherwise.
 
-    Without an id column the id is the place of the row in the files.
+    Without an id column the id is the place of the row in the files.  A file
+    with line breaks inside quotes is read by one task; where no text has any,
+    ``multi_line=False`` lets Spark cut large files.
     """
     raw = require_columns(_read(spark, path, fmt, multi_line),
                           [label, text, *attributes, *([doc_id] if doc_id else [])])

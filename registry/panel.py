@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelspark.functions import columns as C
 from panelspark.functions.fixed_values import MEASURE_NAMES
 from panelspark.operators import clean, panel
-from panelspark.session import work_folder
+from panelspark.session import work_root
 from panelspark.sources import tables as source
 from registry.book import query
 from registry.tables import (CUSTOMER_PANEL, EVENT_PANEL, EVENT_TOTAL, EVENT_TYPES, MEASURES,
@@ -22,7 +22,7 @@ import uuid
 @query("WITH" + ORDER_PANEL + "SELECT * FROM panel")
 def read_panel(spark, d):
     """The panel written as headered CSV with a row id and read back by role."""
-    path = f"{work_folder(spark)}/panelspark/{uuid.uuid4().hex}/panel_csv"
+    path = f"{work_root(spark)}/{uuid.uuid4().hex}/panel_csv"
     (order_panel(spark, d).withColumn("row_id", F.monotonically_increasing_id())
      .select("row_id", "entity", "period", *MEASURES).write.csv(path, header=True))
     return source.read_panel(spark, path, "entity", "period", MEASURES)
@@ -37,7 +37,7 @@ def read_labelled_text(spark, d):
 @query("""SELECT doc_id, lang AS label, text, source FROM documents""")
 def read_labelled_text_csv(spark, d):
     """Texts with line breaks, quotes and commas through CSV and back."""
-    path = f"{work_folder(spark)}/panelspark/{uuid.uuid4().hex}/text_csv"
+    path = f"{work_root(spark)}/{uuid.uuid4().hex}/text_csv"
     (table(spark, d, "documents").select("doc_id", "lang", "text", "source")
      .write.option("quoteAll", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
@@ -45,6 +45,15 @@ def read_labelled_text_csv(spark, d):
     return source.read_labelled_text(spark, path, "lang", "text", ["source"], "doc_id")
 
 
+@query("SELECT row_number() OVER (ORDER BY doc_id) AS doc_id, lang AS label, source AS text, CAST(doc_id AS VARCHAR) AS written_id FROM documents")
+def read_labelled_text_numbered(spark, d):
+    """Files without an id column, cut into pieces: the place of a row is its id."""
+    path = f"{work_root(spark)}/{uuid.uuid4().hex}/numbered_csv"
+    (table(spark, d, "documents").select(F.col("doc_id").alias("written_id"), "lang", "source").repartitionByRange("written_id")
+     .sortWithinPartitions("written_id").write.csv(path, header=True))
+    return source.read_labelled_text(spark, path, "lang", "source", ["written_id"], multi_line=False)
+
+
 @query("SELECT n_nationkey, n_name FROM nation")
 def require_columns(spark, d):
     nation = source.require_columns(table(spark, d, "nation"), ["n_nationkey", "n_name"])

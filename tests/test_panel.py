@@ -151,3 +151,23 @@ def test_filter_arguments_are_spelt_like_the_column(spark):
     rows = spark.createDataFrame([("A & B", 1, 2), ("a and b ", 2, 3), ("C", 1, 4)], "State string, Year int, m int")
     assert panel.filter_panel(rows, "State", "Year", of=" A and B").count() == 2
     assert panel.filter_panel(rows, "State", "Year", of="A & B", normalise=None).count() == 1
+
+
+def test_numbering_moves_no_rows_and_goes_over_the_pieces_of_a_file(spark, tmp_path):
+    for name, low, high in (("b", 300, 900), ("a", 0, 300)):
+        (tmp_path / f"{name}.csv").write_text("label,text\n" + "".join(f"flu,row {i} with some words\n" for i in range(low, high)), encoding="utf8")
+    pieces = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        out = source.read_labelled_text(spark, str(tmp_path), "label", "text", multi_line=False)
+        got = sorted((r.doc_id, r.text) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", pieces)
+    assert got == [(i + 1, f"row {i} with some words") for i in range(900)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "hashpartitioning" not in plan
+
+
+def test_numbering_without_rows(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("label,text\n", encoding="utf8")
+    assert source.read_labelled_text(spark, str(tmp_path), "label", "text").collect() == []
