@@ -338,20 +338,27 @@ def best_cosine(spark, d):
     return similar.best_cosine(vectors.join(predicted, "query_id"), ix).withColumn("score", six("score"))
 
 
-# the benchmark texts against the documents of the label that their neighbours predict
-TURNS = "t AS (SELECT item_id AS query_id, pred.label, text FROM benchmark LEFT JOIN pred ON query_id = item_id)"
+# every conversation turn against the documents of the label that its neighbours predict
+TURN_ID = "(conv_id * 4294967296 + turn)"
+TURNS_INDEXED = INDEXED.replace("SELECT item_id AS query_id,", f"SELECT {TURN_ID} AS query_id,").replace("FROM benchmark", "FROM conversations")
+TURNS = f"t AS (SELECT {TURN_ID} AS query_id, pred.label, text FROM conversations LEFT JOIN pred ON query_id = {TURN_ID})"
 
 
-def labelled_texts(spark, d):
-    ix, vectors = indexed(spark, d)
+def turns(spark, d):
+    return table(spark, d, "conversations").select((F.col("conv_id") * (1 << 32) + F.col("turn")).cast("bigint").alias("query_id"), "text")
+
+
+def labelled_turns(spark, d):
+    ix = index(spark, d)
+    vectors = text.transform_tfidf(turns(spark, d), ix, STOP_WORDS)
     predicted = similar.vote(similar.nearest_docs(vectors, ix, 5)).select("query_id", "label")
-    return materialise(benchmark(spark, d).join(predicted, "query_id", "left"), "labelled_texts")
+    return materialise(turns(spark, d).join(predicted, "query_id", "left"), "labelled_turns")
 
 
 BLANK_SET = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> ''))"
 
 
-@query(INDEXED + f""", {TURNS},
+@query(TURNS_INDEXED + f""", {TURNS},
    aw AS (SELECT query_id, label, unnest({BLANK_SET}) AS w FROM t),
    ds AS MATERIALIZED (SELECT doc_id, lang AS label, {BLANK_SET} AS s FROM documents),
    dw AS (SELECT doc_id, label, unnest(s) AS w, len(s) AS n FROM ds),
@@ -360,7 +367,7 @@ BLANK_SET = r"list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'
    SELECT query_id, round(coalesce(max(p), 0), 6) AS score FROM t LEFT JOIN hits USING (query_id)
    GROUP BY query_id""")
 def best_overlap(spark, d):
-    return similar.best_overlap(labelled_texts(spark, d), documents(spark, d)).withColumn("score", six("score"))
+    return similar.best_overlap(labelled_turns(spark, d), documents(spark, d)).withColumn("score", six("score"))
 
 
 @query(INDEXED + f""", pair AS (SELECT query_id, near.doc_id, b.text AS asked, o.text AS held FROM near
@@ -381,7 +388,7 @@ SPOKEN_CODES = (r"list_transform(list_filter(regexp_split_to_array(lower(text),
                 + soundex("t") + ")")
 
 
-@query(INDEXED + f""", {TURNS},
+@query(TURNS_INDEXED + f""", {TURNS},
    qc AS (SELECT query_id, label, c, count(*) AS n FROM (SELECT query_id, label,
      unnest({SPOKEN_CODES}) AS c FROM t) GROUP BY ALL),
    dc AS (SELECT doc_id, label, c, count(*) AS n FROM (SELECT doc_id, lang AS label,
@@ -393,7 +400,7 @@ SPOKEN_CODES = (r"list_transform(list_filter(regexp_split_to_array(lower(text),
      JOIN ds USING (doc_id) GROUP BY query_id)
    SELECT query_id, round(coalesce(j, 0), 6) AS score FROM t LEFT JOIN s USING (query_id)""")
 def best_phonetic(spark, d):
-    return similar.best_phonetic(labelled_texts(spark, d), documents(spark, d)).withColumn("score", six("score"))
+    return similar.best_phonetic(labelled_turns(spark, d), documents(spark, d)).withColumn("score", six("score"))
 
 
 # ---------------------------------------------------- lookups by label

@@ -239,3 +239,36 @@ def test_stream_answers_once_per_query(spark, docs, index, tmp_path):
            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
     run.awaitTermination(120)
     assert [(r.query_id, r.label) for r in spark.read.parquet(answers).collect()] == [(1, "flu")]
+
+
+def _random_words(seed, n, letters="abrst", longest=9):
+    rng = np.random.default_rng(seed)
+    return sorted({"".join(rng.choice(list(letters), size=rng.integers(1, longest + 1))) for _ in range(n)})
+
+
+def test_phonetic_corrections_against_brute_force(spark):
+    words, terms = _random_words(1, 150), _random_words(2, 60)
+    code = {r.w: r.c for r in spark.createDataFrame([(w,) for w in words + terms], "w string").selectExpr("w", "soundex(w) c").collect()}
+    w, v = spark.createDataFrame([(x,) for x in words], "word string"), spark.createDataFrame([(x,) for x in terms], "term string")
+    nearest = {x: min((edit_distance(x, t), t) for t in terms) for x in words}
+    want = {x: t for x, (_, t) in nearest.items() if code[x] == code[t]}
+    assert {r.word: r.new for r in spell.phonetic_corrections(w, v).collect()} == want
+    alike = {x: min((edit_distance(x, t), t) for t in terms if code[t] == code[x]) for x in words if any(code[t] == code[x] for t in terms)}
+    assert {r.word: (r.edits, r.new) for r in spell.nearest_alike(w, v).collect()} == alike
+
+
+@pytest.mark.parametrize("reach", [1, 2, 3, 5, 9])
+def test_candidates_hold_all_in_reach_and_stay_below_all_pairs(spark, reach):
+    words, terms = _random_words(3, 120, "abcdefghij", 12), _random_words(4, 120, "abcdefghij", 12)
+    w, v = spark.createDataFrame([(x,) for x in words], "word string"), spark.createDataFrame([(x,) for x in terms], "term string")
+    pairs = {(r.word, r.term) for r in spell._candidates(w, v, reach, False).distinct().collect()}
+    assert {(x, t) for x in words for t in terms if edit_distance(x, t) <= reach} <= pairs
+    assert spell._candidates(w, v, reach, True).distinct().count() < len(words) * len(terms)
+
+
+def test_words_as_short_as_the_reach(spark):
+    """No term within two edits: the alphabetically first of those within three."""
+    w = spark.createDataFrame([("abc",), ("xy",), ("",)], "word string")
+    v = spark.createDataFrame([("zzz",), ("def",), ("qrstu",)], "term string")
+    got = {r.word: (r.edits, r.nearest) for r in spell.nearest_terms(w, v, None).collect()}
+    assert got == {"abc": (3, "def"), "xy": (3, "def"), "": (3, "def")}
