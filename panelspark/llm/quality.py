@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import text_key, text_or_empty, words
+from panelspark.operators.joins import lookup
 from panelspark.session import materialise
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 STATISTICS = ("symbols", "capitals", "length", "calls")
 MIN_WORDS = 50
-MIN_ROWS = 40          # fewer rows share an estimate with others of their language
+MIN_VECTORS = 40       # fewer different vectors share an estimate with others of their language
+BROADCAST_CELLS = 100_000   # limits of so many cells go to every task; more are looked up
 SUBSET = 0.5           # the share of vectors that an estimate rests on
 CONSISTENCY = 2.109    # covariance of that share of a normal in four dimensions -> of the whole
 STEPS = 4
@@ -126,8 +128,13 @@ def _nearest(rows: DataFrame) -> DataFrame:
     upto = Window.partitionBy("cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     limit = (binned.groupBy("cell", "bin").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(upto))
              .withColumn("all", F.sum("n").over(Window.partitionBy("cell")))
-             .where(F.col("upto") >= SUBSET * F.col("all")).groupBy("cell").agg(F.min("bin").alias("limit")))
-    return binned.join(limit, "cell").where(F.col("bin") <= F.col("limit"))
+             .where(F.col("upto") >= SUBSET * F.col("all")).groupBy("cell").agg(F.min("bin").alias("limit"), F.max("all").alias("all")))
+    limit = materialise(limit, "limits")
+    if limit.count() <= BROADCAST_CELLS:
+        met = binned.join(F.broadcast(limit), "cell")
+    else:  # large cells are spread
+        met = lookup(binned.withColumn("deal", F.xxhash64(*STATISTICS)), limit, "cell", "deal", "all").drop("deal")
+    return met.where(F.col("bin") <= F.col("limit"))
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -139,8 +146,8 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     capitals, log of the mean word length, root of the exclamation and question
     marks per word; less the median of the row's cell and, as short texts
     scatter more, times sqrt(n / (n + 100)).  A cell is a language and source;
-    cells with under 40 rows are joined per language, and such remains again
-    into one.  Per cell the minimum-covariance-determinant estimate is found by
+    cells with under 40 different vectors are joined per language, and such
+    remains again into one.  Per cell the minimum-covariance-determinant estimate is found by
     concentration steps from a start at the median: take the half of the vectors
     that are nearest, estimate anew.  Equal vectors of a cell count once in
     median and estimate, so copies neither draw the estimate to themselves nor
@@ -149,7 +156,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
     All steps are sums and counts per cell, so a cell with most of the table is
     no single task.  Null languages and sources are values of their own, a null
-    text has no words and fails; if too few rows remain for an estimate, base
+    text has no words and fails; if too few vectors remain for an estimate, base
     rules alone decide.  Repeated rows are judged alike.
     """
     stats = materialise(document_statistics(docs).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
@@ -161,13 +168,14 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
         F.sqrt(F.col("n_symbols") / chars).alias("symbols"), F.sqrt(F.col("n_capitals") / chars).alias("capitals"),
         F.log(chars / words_of).alias("length"), F.sqrt(F.col("n_calls") / words_of).alias("calls"),
         F.sqrt(words_of / (words_of + SHORT)).alias("shrink"))
-    cells = raw.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = Window.partitionBy("lang", F.col("n") >= MIN_ROWS)
+    raw = materialise(raw, "raw")
+    cells = raw.select("lang", "source", *STATISTICS, "shrink").distinct().groupBy("lang", "source").agg(F.count("*").alias("n"))
+    small = Window.partitionBy("lang", F.col("n") >= MIN_VECTORS)
     cells = cells.withColumn("pooled", F.sum("n").over(small)).select(
-        "lang", "source", F.when(F.col("n") >= MIN_ROWS, F.concat_ws("\u0001", F.lit("cell"), "lang", "source"))
-        .when(F.col("pooled") >= MIN_ROWS, F.concat_ws("\u0001", F.lit("lang"), "lang"))
+        "lang", "source", F.when(F.col("n") >= MIN_VECTORS, F.concat_ws("\u0001", F.lit("cell"), "lang", "source"))
+        .when(F.col("pooled") >= MIN_VECTORS, F.concat_ws("\u0001", F.lit("lang"), "lang"))
         .otherwise(F.lit("rest")).alias("cell"))
-    raw = materialise(raw.join(cells, ["lang", "source"]).drop("lang", "source"), "raw")
+    raw = materialise(raw.join(cells, ["lang", "source"]).drop("lang", "source"), "raw_cells")
     once = materialise(raw.select("cell", *STATISTICS, "shrink").distinct(), "distinct")
     shift = materialise(_medians(once), "medians")
     moved = [((F.col(c) - F.col(f"mid_{c}")) * F.col("shrink")).alias(c) for c in STATISTICS]
@@ -178,9 +186,9 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     estimate = materialise(_estimates(_nearest(start), CONSISTENCY), "estimate")
     for _ in range(STEPS):
         estimate = materialise(_estimates(_nearest(_with_distance(once, estimate)), CONSISTENCY), "estimate")
-    enough = rows.groupBy("cell").agg(F.count("*").alias("rows"))
+    enough = once.groupBy("cell").agg(F.count("*").alias("vectors"))
     verdict = (_with_distance(rows, estimate).join(enough, "cell")
-               .withColumn("out", (F.col("distance") > cutoff) & (F.col("rows") >= MIN_ROWS))
+               .withColumn("out", (F.col("distance") > cutoff) & (F.col("vectors") >= MIN_VECTORS))
                .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
                .agg(F.max("distance").alias("distance"), F.max("out").alias("out")))
     return (stats.join(verdict, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")

@@ -122,10 +122,10 @@ def quality(docs, settings):
         cells[docs[i][2], docs[i][3]].append(i)
     pooled = defaultdict(list)
     for (lang, source), rows in cells.items():
-        pooled[(lang, source) if len(rows) >= settings.MIN_ROWS else (lang,)] += rows
+        pooled[(lang, source) if len(rows) >= settings.MIN_VECTORS else (lang,)] += rows
     groups = defaultdict(list)
     for key, rows in pooled.items():
-        groups[key if len(rows) >= settings.MIN_ROWS else ()] += rows
+        groups[key if len(rows) >= settings.MIN_VECTORS else ()] += rows
     kept = [not f for f in failed]
     for rows in groups.values():
         x = np.array([vectors[i] for i in rows])
@@ -141,7 +141,7 @@ def quality(docs, settings):
             mean = near.mean(axis=0)
             cov = settings.CONSISTENCY * ((near - mean).T @ (near - mean)) / len(near) + settings.FLOOR**2 * np.eye(4)
             distance = np.einsum("ij,ij->i", (x - mean) @ np.linalg.inv(cov), x - mean)
-        if len(rows) >= settings.MIN_ROWS:
+        if len(rows) >= settings.MIN_VECTORS:
             for i, d in zip(rows, distance):
                 kept[i] = bool(d <= settings.CUTOFF)
     return kept

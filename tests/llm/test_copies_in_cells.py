@@ -53,3 +53,25 @@ def test_a_third_of_a_cell_as_good_copies(spark, exact):
     assert len(kept & set(range(200))) >= 190
     if exact:
         assert kept - set(range(205, 305)) == alone
+
+
+def test_a_cell_of_few_texts_with_many_copies_has_no_estimate(spark):
+    """60 copies each of five texts are five vectors, too few to call one of them far out."""
+    dice = random.Random(13)
+    texts = _clean(dice, 4) + [_bad(dice, 4)]
+    rows = [(60 * i + j, t, "en", "s") for i, t in enumerate(texts) for j in range(60)]
+    assert quality.judge(spark.createDataFrame(rows, SCHEMA)).where("not kept").count() == 0
+    # with others of the language they are judged against these
+    rows += [(1000 + i, t, "en", "t") for i, t in enumerate(_clean(dice, 39))]
+    out = {r.doc_id for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).where("not kept").collect()}
+    assert set(range(240, 300)) <= out and not out & set(range(240))
+
+
+def test_cells_beyond_the_broadcast_are_judged_alike(spark, monkeypatch):
+    dice = random.Random(14)
+    rows = [(i, t, "en", "st"[i % 3 == 0]) for i, t in enumerate(_clean(dice, 150) + [_bad(dice, 3)] * 20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = lambda: {r.doc_id for r in quality.judge(docs).where("kept").collect()}
+    sent = kept()
+    monkeypatch.setattr(quality, "BROADCAST_CELLS", 0)
+    assert kept() == sent
