@@ -8,8 +8,10 @@ centres of all k; the driver holds centres only.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,37 @@ def draw_seeds(points: DataFrame, key: str, k: int, seed: int = 42) -> Centres:
     return centres
 
 
+def _attracted(centres: dict[int, Centres]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Kernel: number and sum of the vectors that each centre of each set attracts, one row per centre and task.
+
+    Distances are added up one coordinate at a time; the lowest centre wins on ties.
+    """
+    sets = {k: np.array(c, dtype=np.float64) for k, c in centres.items()}
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {k: np.zeros((len(c), c.shape[1] + 1)) for k, c in sets.items()}
+        for batch in batches:
+            values = batch.column(0).flatten()
+            if values.null_count:
+                raise ValueError("k-means needs a number in every column of every row")
+            x = np.asarray(values, dtype=np.float64).reshape(batch.num_rows, -1)
+            for k, c in sets.items():
+                squares = np.zeros((len(x), len(c)))
+                for j in range(c.shape[1]):
+                    squares += (x[:, j, None] - c[None, :, j]) ** 2
+                own = np.where(np.isnan(squares), np.inf, squares).argmin(axis=1)
+                for j in range(c.shape[1]):
+                    totals[k][:, j] += np.bincount(own, x[:, j], minlength=len(c))
+                totals[k][:, -1] += np.bincount(own, minlength=len(c))
+        for k, t in totals.items():
+            held = np.flatnonzero(t[:, -1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(held), k), pa.int32()), pa.array(held, pa.int32()), pa.array(t[held, -1].astype(np.int64)),
+                 pa.array(t[held, :-1].tolist(), pa.list_(pa.float64()))], ["k", "i", "n", "s"])
+
+    return kernel
+
+
 def lloyd_many(points: DataFrame, starts: dict[int, Centres], max_iter: int, tol: float = 1e-4) -> dict[int, Centres]:
     """Lloyd's iterations for several sets of centres, one scan per iteration for all of them.
 
@@ -77,13 +110,12 @@ def lloyd_many(points: DataFrame, starts: dict[int, Centres], max_iter: int, tol
     for _ in range(max_iter):
         if not open_:
             break
-        own = F.array(*[F.struct(F.lit(k).alias("k"), _nearest(centres[k]).alias("i")) for k in sorted(open_)])
-        # a task sends on one row per centre
-        moved = points.select(VECTOR, F.explode(own).alias("own")).groupBy("own").agg(
-            F.array(*[F.avg(F.col(VECTOR)[j]) for j in range(width)]).alias("centre")).collect()
+        moved = points.select(VECTOR).mapInArrow(
+            _attracted({k: centres[k] for k in open_}), "k int, i int, n bigint, s array<double>").groupBy("k", "i").agg(
+            F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[j]) for j in range(width)]).alias("s")).collect()
         new = {k: list(centres[k]) for k in open_}
         for r in moved:
-            new[r["own"]["k"]][r["own"]["i"]] = [float(x) for x in r["centre"]]
+            new[r["k"]][r["i"]] = [float(x) / r["n"] for x in r["s"]]
         for k in list(open_):
             if all(abs(a - b) <= tol for x, y in zip(new[k], centres[k]) for a, b in zip(x, y)):
                 open_.discard(k)
@@ -130,5 +162,5 @@ def curve_figures(points: DataFrame, centres: dict[int, Centres]) -> dict[int, t
 
 
 def written(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """The table with its vectors, written once for all scans of a fit."""
-    return materialise(with_vector(df, cols), "kmeans_points")
+    """The table with its vectors, written once for all scans of a fit, in a piece for every core."""
+    return materialise(with_vector(df, cols).repartition(df.sparkSession.sparkContext.defaultParallelism), "kmeans_points")
