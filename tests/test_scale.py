@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import kmeans
+from panelspark.operators import blocks, kmeans, similar
+from panelspark.operators.kernels import keep_best, sparse_top_k
 
 
 def test_kmeans_rows_lie_in_a_piece_for_every_core(spark):
@@ -29,3 +30,24 @@ def test_kmeans_wants_numbers(spark):
     points = kmeans.written(spark.createDataFrame([(1, 0.0), (2, None)], "id bigint, a double"), ["a"])
     with pytest.raises(Exception, match="k-means needs a number"):
         kmeans.lloyd_many(points, {1: [[0.0]]}, 1)
+
+
+def test_blocks_meet_without_moving_rows(spark, monkeypatch):
+    plans, write = {}, blocks.materialise
+
+    def noted(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, **options)
+
+    monkeypatch.setattr(blocks, "materialise", noted)
+    rng = np.random.default_rng(5)
+    rows = [(i, [str(t) for t in range(i % 4, 6)], rng.random(6 - i % 4).tolist()) for i in range(90)]
+    d = spark.createDataFrame(rows, "rep_id bigint, terms array<string>, weights array<double>")
+    q = d.withColumnRenamed("rep_id", "query_id")
+    size = F.size("terms")
+    got = blocks.meet(d, q, "rep_id", "query_id", size, size, sparse_top_k(90), similar.MATCH, doc_entries=20, query_entries=15, merge=keep_best(90))
+    assert sorted(plans) == ["doc_blocks", "met", "query_blocks"] and "hashpartitioning" not in "".join(plans.values())
+    want = {(a, b): round(sum(x * y for t, x in zip(ta, wa) for u, y in zip(tb, wb) if t == u), 9) for a, ta, wa in rows for b, tb, wb in rows}
+    have = {(r.query_id, r.rep_id): r.score for r in got.collect()}
+    assert have.keys() == want.keys() and all(have[p] == pytest.approx(want[p], abs=1e-8) for p in want)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
