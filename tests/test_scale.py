@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import blocks, kmeans, similar
+from panelspark.operators import blocks, joins, kmeans, similar, text
 from panelspark.operators.kernels import keep_best, sparse_top_k
 
 
@@ -51,3 +51,33 @@ def test_blocks_meet_without_moving_rows(spark, monkeypatch):
     have = {(r.query_id, r.rep_id): r.score for r in got.collect()}
     assert have.keys() == want.keys() and all(have[p] == pytest.approx(want[p], abs=1e-8) for p in want)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+
+
+def index_of(spark, rows):
+    return text.fit_tfidf(spark.createDataFrame(rows, "doc_id bigint, label string, text string"))
+
+
+def test_index_of_copies_bare_and_unnamed_documents(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SENT_KEYS", 3)  # both ways of the look-up
+    rows = [(i, "a", f"red red blue w{i % 5}x w{i}y") for i in range(20)]
+    rows += [(i + 100, "b", f"red red blue w{i % 5}x w{i}y") for i in range(3)] + [(5, "a", rows[5][2]), (200, "a", None), (None, "c", "green blue")]
+    ix = index_of(spark, rows)
+    have = {(r.rep_id, r.copies): dict(zip(r.terms, r.weights)) for r in ix.vectors.collect()}
+    bags = [r for r in rows if r[0] is not None and r[2]]
+    df = {t: sum(t in r[2].split() for r in bags) for r in bags for t in r[2].split()}
+    assert {r.term: r.df for r in ix.vocab.collect()} == df
+    copies = {i: sum(r[2] == rows[i][2] for r in rows) for i in range(20)}
+    assert have.keys() == set(copies.items())
+    for i in range(20):
+        words = rows[i][2].split()
+        w = {t: words.count(t) * (np.log((1 + len(rows)) / (1 + df[t])) + 1) for t in words}
+        length = np.sqrt(sum(x * x for x in w.values()))
+        assert have[i, copies[i]] == pytest.approx({t: x / length for t, x in w.items()})
+    assert {(r.doc_id, r.rep_id) for r in ix.docs.collect() if r.doc_id is not None} == {(r[0], r[0] % 100) for r in bags} | {(200, 200)}
+
+
+def test_terms_of_a_vector_lie_from_rare_to_common(spark):
+    ix = index_of(spark, [(i, "a", f"common w{i % 3}x w{i}y") for i in range(9)])
+    df = {r.term: r.df for r in ix.vocab.collect()}
+    for r in ix.vectors.collect():
+        assert r.terms == sorted(r.terms, key=lambda t: (df[t], t))
