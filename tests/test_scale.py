@@ -1,10 +1,11 @@
 """Steps that must grow no faster than their input."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators import blocks, joins, kmeans, similar, text
+from panelspark.operators import blocks, joins, kernels, kmeans, linkage, similar, text
 from panelspark.operators.kernels import keep_best, sparse_top_k
 
 
@@ -81,3 +82,31 @@ def test_terms_of_a_vector_lie_from_rare_to_common(spark):
     df = {r.term: r.df for r in ix.vocab.collect()}
     for r in ix.vectors.collect():
         assert r.terms == sorted(r.terms, key=lambda t: (df[t], t))
+
+
+def test_similar_pairs_against_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(60):
+        base = rng.integers(0, 12, size=rng.integers(1, 9))
+        rows += [(3 * i, "a", " ".join(f"w{t}w" for t in base)), (3 * i + 1, "a", " ".join(f"w{t}w" for t in [*base, *base, rng.integers(0, 40)]))]
+    ix = index_of(spark, rows)
+    vectors = {r.rep_id: dict(zip(r.terms, r.weights)) for r in ix.vectors.collect()}
+    want = {}
+    for a in vectors:
+        for b in vectors:
+            d = np.sqrt(max(0, 2 - 2 * sum(w * vectors[b].get(t, 0) for t, w in vectors[a].items())))
+            if a < b and d <= 0.6:
+                want[a, b] = d
+    have = {(r.a, r.b): r.distance for r in linkage.similar_pairs(ix, 0.6).collect()}
+    assert len(want) > 20 and have == pytest.approx(want, abs=1e-8)
+
+
+def test_pairs_meet_on_their_first_terms_only(monkeypatch):
+    rows = [(i, [f"r{i // 2}", "common"], [0.9, np.sqrt(1 - 0.81)]) for i in range(40)]
+    table = pa.table({"rep_id": [r[0] for r in rows], "terms": [r[1] for r in rows], "weights": [r[2] for r in rows]})
+    asked, dots = [], kernels._dots
+    monkeypatch.setattr(kernels, "_dots", lambda d, q, doc, query: asked.extend(doc) or dots(d, q, doc, query))
+    found = kernels.sparse_pairs(0.82)(table, table.rename_columns({"rep_id": "query_id"}))
+    assert sorted(zip(*(found.column(c).to_pylist() for c in "ab"))) == [(i, i + 1) for i in range(0, 40, 2)]
+    assert sorted(asked) == list(range(1, 40, 2))
