@@ -110,3 +110,19 @@ def test_pairs_meet_on_their_first_terms_only(monkeypatch):
     found = kernels.sparse_pairs(0.82)(table, table.rename_columns({"rep_id": "query_id"}))
     assert sorted(zip(*(found.column(c).to_pylist() for c in "ab"))) == [(i, i + 1) for i in range(0, 40, 2)]
     assert sorted(asked) == list(range(1, 40, 2))
+
+
+def test_sums_of_distances_by_products(monkeypatch):
+    monkeypatch.setattr(kernels, "_distances", None)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(50, 7)) + 1000.0
+    x[30:] = x[:20]
+    x[40:] += 1e-7
+    own = rng.integers(0, 3, size=50)
+    docs = pa.table({"rep_id": np.arange(50), "cluster": own.astype(np.int32), "features": x.tolist()})
+    found = kernels.distance_sums()(docs, pa.table({"query_id": np.arange(50), "features": x.tolist()}))
+    apart = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert {(r["query_id"], r["cluster"]): r["distance"] for r in found.to_pylist()} == pytest.approx(
+        {(i, c): apart[own == c, i].sum() for i in range(50) for c in range(3)}, rel=1e-8)
+    same = pa.table({"rep_id": [0, 1], "cluster": pa.array([0, 1], pa.int32()), "features": [[0.1, 0.7]] * 2})
+    assert kernels.distance_sums()(same, same.rename_columns({"rep_id": "query_id"})).column("distance").to_pylist() == [0.0] * 4
