@@ -54,6 +54,17 @@ def test_blocks_meet_without_moving_rows(spark, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
 
 
+def test_blocks_send_the_best_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "TASKS_PER_CORE", 1, raising=False)
+    rows = [(i, ["t", f"u{i}"], [1.0, 1.0 + i / 100]) for i in range(400)]
+    d = spark.createDataFrame(rows, "rep_id bigint, terms array<string>, weights array<double>")
+    q = spark.createDataFrame(rows, "query_id bigint, terms array<string>, weights array<double>")
+    size = F.size("terms")
+    got = blocks.meet(d, q, "rep_id", "query_id", size, size, sparse_top_k(2), similar.MATCH, doc_entries=20, query_entries=20, merge=keep_best(2))
+    # two per query, not two per block of documents or task that reads some
+    assert got.count() == 800 and {r.query_id for r in got.collect() if r.query_id == r.rep_id} == set(range(1, 400)) | {0}
+
+
 def index_of(spark, rows):
     return text.fit_tfidf(spark.createDataFrame(rows, "doc_id bigint, label string, text string"))
 
@@ -77,6 +88,31 @@ def test_index_of_copies_bare_and_unnamed_documents(spark, monkeypatch):
     assert {(r.doc_id, r.rep_id) for r in ix.docs.collect() if r.doc_id is not None} == {(r[0], r[0] % 100) for r in bags} | {(200, 200)}
 
 
+@pytest.mark.parametrize("sent", [3, 100_000])
+def test_weights_are_worked_out_where_the_terms_lie(spark, monkeypatch, sent):
+    plans, write = {}, text.materialise
+
+    def noted(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, **options)
+
+    monkeypatch.setattr(text, "materialise", noted)
+    monkeypatch.setattr(joins, "SENT_KEYS", sent)
+    rows = [(i, "a", " ".join(f"w{j}w" for j in range(i % 7 + 1)) + f" é{i}x " + "z" * (70 + i % 2)) for i in range(30)]
+    # a doc_id with two texts has their terms together
+    ix = index_of(spark, [*rows, (2, "a", "w0w other"), (3, "b", rows[3][2])])
+    words = {i: t.split() + (["w0w", "other"] if i == 2 else []) for i, _, t in rows}
+    idf = {r.term: r.idf for r in ix.vocab.collect()}
+    have = {r.rep_id: r for r in ix.vectors.collect()}
+    assert have.keys() == words.keys() and have[3].copies == 2 and have[4].copies == 1
+    for i, held in words.items():
+        assert have[i].terms == sorted(set(held), key=lambda t: (-idf[t], t.encode()))
+        w = np.array([held.count(t) * idf[t] for t in have[i].terms])
+        assert have[i].weights == pytest.approx(list(w / np.sqrt(w @ w)))
+    plain = index_of(spark, rows)
+    assert "Generate" not in plans["vectors"] and plain.vectors.count() == 30
+
+
 def test_terms_of_a_vector_lie_from_rare_to_common(spark):
     ix = index_of(spark, [(i, "a", f"common w{i % 3}x w{i}y") for i in range(9)])
     df = {r.term: r.df for r in ix.vocab.collect()}
