@@ -152,3 +152,39 @@ def test_divisive_with_fewer_texts_than_clusters(spark):
     assert curve[2].silhouette > 0 and curve[3].silhouette is None and curve[3].reason == "only 2 clusters"
     none = text.fit_tfidf(spark.createDataFrame([(1, "x", "")], "doc_id bigint, label string, text string"))
     assert [tuple(r) for r in divisive.divisive_clusters(none, 3).collect()] == [(1, -1)]
+
+
+def test_divisive_in_small_blocks_and_slices(some_texts, monkeypatch):
+    monkeypatch.setattr(divisive, "BLOCK_ENTRIES", 40)
+    monkeypatch.setattr(divisive, "SENT_NUMBERS", 50)
+    rows = _vectors(some_texts)
+    rep = {r.doc_id: r.rep_id for r in some_texts.docs.collect()}
+    want = {i: g for g, ids in enumerate(_plain_tree(rows, 3, 2)) for i in ids}
+    got = {r.doc_id: r.cluster for r in divisive.divisive_clusters(some_texts, 3, 2).collect()}
+    assert got == {d: want.get(r, -1) for d, r in rep.items()}
+
+
+def test_divisive_rounds_move_no_vectors(some_texts, monkeypatch):
+    """Vectors are packed once; what is shuffled in the rounds are sums of those that changed their half."""
+    plans, write = [], divisive.materialise
+
+    def noted(df, name, **options):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name, **options)
+
+    monkeypatch.setattr(divisive, "materialise", noted)
+    assert divisive.divisive_clusters(some_texts, 2, 3).count() == 52
+    names = [n for n, _ in plans]
+    assert names.count("vector_blocks") == 1 and "round" in names and "all_entries" not in names
+    assert all("hashpartitioning" not in plan for name, plan in plans if name in ("vector_blocks", "round", "state"))
+
+
+def test_divisive_groups_that_wait_are_still_split(spark):
+    """Groups whose halves were found early keep their vectors until it is their turn."""
+    rng = np.random.default_rng(4)
+    docs = [(i, "x", " ".join(rng.choice([f"{'uvw'[i % 3]}{j}" for j in range(9)], size=5))) for i in range(40)]
+    index = text.fit_tfidf(spark.createDataFrame(docs, "doc_id bigint, label string, text string"))
+    rows = _vectors(index)
+    want = {i: g for g, ids in enumerate(_plain_tree(rows, 9, 2)) for i in ids}
+    rep = {r.doc_id: r.rep_id for r in index.docs.collect()}
+    assert {r.doc_id: r.cluster for r in divisive.divisive_clusters(index, 9, 2).collect()} == {d: want[r] for d, r in rep.items()}
