@@ -42,12 +42,14 @@ def text_key(name: str = "text") -> Column:
 
 
 def number_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str,
-                  slices: int = 256) -> DataFrame:
+                  slices: int = 256, few: bool = False) -> DataFrame:
     """Add a gapless number from 0 to the rows of each group; ``groups`` hold no nulls.
 
     A group is dealt into ``slices`` by a hash of ``order``; rows are numbered
     inside a slice and moved up by the sizes of the slices before it.  So a
-    group that holds most of the table still spreads over the cluster.
+    group that holds most of the table still spreads over the cluster.  With
+    ``few`` the number of groups has a bound that no table raises: the sizes of
+    the slices are sent to the rows, which are not sorted again to meet them.
     """
     groups = list(groups)
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
@@ -56,7 +58,7 @@ def number_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
         *groups, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*groups, "_slice").orderBy(*order)
     return (sliced.withColumn("_row", F.row_number().over(inside))
-            .join(offsets, [*groups, "_slice"])
+            .join(F.broadcast(offsets) if few else offsets, [*groups, "_slice"])
             .withColumn(name, (F.col("_before") + F.col("_row") - 1).cast("bigint"))
             .drop("_slice", "_row", "_before"))
 

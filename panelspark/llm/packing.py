@@ -214,7 +214,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END_ID, slices: i
     the histogram of lengths by non-negative least squares; the remainder goes
     best-fit.  The histogram has ``capacity`` numbers whatever the corpus, so it
     and the plan are the driver's; pieces stay distributed and are numbered per
-    length in slices.  A piece's sequence follows from its length and number.
+    length in slices, whose at most ``capacity * slices`` sizes are sent to them.
+    A piece's sequence follows from its length and number.
 
     A null or empty text is its end id alone.  Repeated rows are packed each.
     An empty table gives no rows.
@@ -236,7 +237,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END_ID, slices: i
 
     names = [c for c in pieces.columns if c != "row"]
     schema = pieces.select(*names).schema.add("sequence_id", "long").add("offset", "long")
-    numbered = number_within(short, ["length"], [F.col("row")], "number", slices)
+    numbered = number_within(short, ["length"], [F.col("row")], "number", slices, few=True)
     placed = numbered.select(*names, "number").mapInArrow(place, schema)
     whole = pieces.where(F.col("length") == capacity).select(
         *names, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))

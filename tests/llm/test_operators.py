@@ -144,6 +144,20 @@ def test_packing_round_trip(docs, rows, capacity):
     assert whole.agg(F.sum(F.size("ids"))).first()[0] == got["length"].sum()
 
 
+def test_packing_numbers_pieces_without_a_second_sort(spark, docs):
+    sent = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(sent)
+    spark.conf.set(sent, "-1")
+    try:
+        packed = packing.pack(docs, 64)
+        steps = packed._jdf.queryExecution().executedPlan().toString()
+        got = packed.toPandas()
+    finally:
+        spark.conf.set(sent, before)
+    assert "BroadcastHashJoin" in steps and "SortMergeJoin" not in steps
+    check_packing(got, 64)
+
+
 def test_patterns_fill_sequences_and_use_no_piece_twice():
     histogram = np.bincount(np.random.default_rng(3).integers(1, 64, 20_000), minlength=65)
     planned = packing.plan(histogram, 64)
