@@ -127,6 +127,37 @@ def test_max_score_leaves_common_lists_unread(spark, monkeypatch):
     assert [r.term for r in unread] == ["common"] and sizes["sums"].count() == 3
 
 
+def test_sums_and_vectors_do_not_move_to_meet_the_queries(spark, monkeypatch):
+    monkeypatch.setattr(search, "FIRST_POSTINGS", 3)
+    rng = np.random.default_rng(7)
+    docs, asked = (search.materialise(sparse_table(spark, rng, n, key, 80), key) for n, key in ((400, "rep_id"), (25, "query_id")))
+    plans, write = {}, search.materialise
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(search, "materialise", noted)
+    assert search.max_score(asked, docs, 3).count() == 75
+    # what is open meets two numbers per query, and the vectors meet numbers alone
+    assert "BroadcastHashJoin" in plans["open"] and "Exchange hashpartitioning" not in plans["open"]
+    assert "BroadcastHashJoin" in plans["asked_vectors"] and "Exchange hashpartitioning" not in plans["asked_vectors"]
+
+
+def test_means_of_labels_with_and_without_copies(spark):
+    rows = [(1, "a", "red green"), (2, "a", "red green"), (3, "b", "red green"), (4, "b", "blue"), (5, None, "blue"), (6, "a", "gold red"),
+            (6, "b", "gold blue"), (7, "b", "white"), (8, "b", "white"), (9, None, "black"), (7, "a", None), (None, "c", "white"), (10, "a", None)]
+    ix = text.fit_tfidf(spark.createDataFrame(rows, "doc_id bigint, label string, text string"))
+    assert {r.rep_id: r.sole_label for r in ix.vectors.collect()} == {1: None, 4: None, 6: None, 7: None, 9: None}
+    plain = text.fit_tfidf(spark.createDataFrame([(i, "ab"[i % 2], f"w{i}w common") for i in range(6)] + [(8, "a", "w0w common")],
+                                                 "doc_id bigint, label string, text string"))
+    assert {r.rep_id: (r.sole_label, r.copies) for r in plain.vectors.collect()} == {0: ("a", 2)} | {i: ("ab"[i % 2], 1) for i in range(1, 6)}
+    for index in (ix, plain):
+        joined = text.TextIndex(index.docs, index.vocab, index.vectors.drop("sole_label"), index.size)
+        got, want = ({(r.label, r.term): r.weight for r in similar.centroids(x).collect()} for x in (index, joined))
+        assert got == pytest.approx(want) and want
+
+
 def test_a_query_list_is_searched_without_blocks(spark, monkeypatch, index):
     monkeypatch.setattr(similar, "meet", None)
     monkeypatch.setattr(similar, "SEARCH_ROWS", 100)
