@@ -303,3 +303,33 @@ def test_words_as_short_as_the_reach(spark):
     v = spark.createDataFrame([("zzz",), ("def",), ("qrstu",)], "term string")
     got = {r.word: (r.edits, r.nearest) for r in spell.nearest_terms(w, v, None).collect()}
     assert got == {"abc": (3, "def"), "xy": (3, "def"), "": (3, "def")}
+
+
+@pytest.mark.parametrize("sent", [0, 100])
+def test_tokens_are_rewritten_where_they_lie(spark, monkeypatch, sent):
+    from panelspark.operators import joins
+    monkeypatch.setattr(joins, "SENT_KEYS", sent)
+    docs = spark.createDataFrame([("x", 1, ["a", "bb", "a", None]), ("y", 2, []), ("z", 3, None), ("w", 4, ["cc", "dd"])], "more string, id int, tokens array<string>")
+    changes = spark.createDataFrame([("a", "aa"), ("dd", "d"), ("bb", "bb")], "word string, new string")
+    out = text.rewrite_tokens(docs, "id", "tokens", changes)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["id", "more", "tokens"] and (sent == 0 or "Join" not in plan and "Exchange" not in plan)
+    assert {r.id: (r.more, r.tokens) for r in out.collect()} == {
+        1: ("x", ["aa", "bb", "aa", None]), 2: ("y", []), 3: ("z", []), 4: ("w", ["cc", "d"])}
+
+
+def test_vectors_that_know_their_label_do_not_move(spark):
+    rows = [(1, "a", "red blue"), (2, "b", "red blue"), (3, "a", "green red"), (4, "b", "grey blue"), (5, None, "grey"), (6, "a", "red green")]
+    ix = text.fit_tfidf(spark.createDataFrame(rows, "doc_id bigint, label string, text string"))
+    got = similar.label_vectors(ix)
+    assert sorted((r.rep_id, r.label or "") for r in got.collect()) == [(1, "a"), (1, "b"), (3, "a"), (4, "b"), (5, "")]
+    assert "Union" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phonetic_sets_are_sent_once(spark):
+    d = spark.createDataFrame([(1, "a", "bob bob tim Bob"), (1, "a", "tim b4"), (2, None, "tim"), (3, "a", None), (4, "a", "7")], "doc_id bigint, label string, text string")
+    sets = similar._phonetic_sets(d, "doc_id")
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: (sorted(r.terms), r.weights) for r in sets.collect()} == {
+        1: (["B100 1", "B100 2", "B100 3", "T500 1", "T500 2"], [1.0] * 5), 2: (["T500 1"], [1.0])}
+    assert plan.count("Exchange hashpartitioning") == 1
